@@ -1,0 +1 @@
+"""Kept empty on purpose: every stage of the workload is a batch job (see README)."""
