@@ -4,7 +4,15 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["deviation_queries", "io_queries", "shape_queries", "profile_queries"]
+MODULES = [
+    "deviation_queries",
+    "io_queries",
+    "shape_queries",
+    "profile_queries",
+    "feature_queries",
+    "cluster_queries",
+    "chart_queries",
+]
 
 
 def load():
