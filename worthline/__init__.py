@@ -1 +1,8 @@
 """Worthline: building, scoring and explaining value predictions over large tables with Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel with their code, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -12,6 +12,8 @@ MODULES = [
     "feature_queries",
     "cluster_queries",
     "chart_queries",
+    "model_queries",
+    "network_queries",
 ]
 
 

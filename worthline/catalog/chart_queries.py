@@ -111,7 +111,7 @@ def _(spark, folder):
 
 @query(
     "silhouette_profile",
-    f"with {SILHOUETTE} select entity_id, label, row_number() over (partition by label order by round(silhouette, 9), entity_id) place, round(silhouette, 6) + 0.0 silhouette from sil",
+    f"with {SILHOUETTE} select entity_id, label, row_number() over (partition by label order by round(silhouette, 9), entity_id) place, round(round(silhouette, 9), 6) + 0.0 silhouette from sil",
 )
 def _(spark, folder):
     samples = kmeans.silhouette_samples(assigned(spark, folder), COLUMNS).withColumn("silhouette", F.round("silhouette", 9))

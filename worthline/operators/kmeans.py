@@ -17,13 +17,13 @@ from pyspark.storagelevel import StorageLevel
 
 from worthline.functions.scalars import ratio
 from worthline.operators.lookup import lookup_join
-from worthline.operators.partials import collect_sums, keyed, matrix, sum_by_key
-from worthline.operators.split import key_hash
+from worthline.operators.partials import Shared, collect_sums, hashed_samples, keyed, matrix, sum_by_key
 
-SEED_ROWS = 2_000
+SEED_ROWS = 4_000
 RESTARTS = 10
-MAX_STEPS = 60
+MAX_STEPS = 40
 TOLERANCE = 1e-4
+LEAST_GAIN = 3e-4
 
 
 @dataclass
@@ -54,7 +54,7 @@ def starting_points(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.
     return np.array(chosen)
 
 
-def refined(sample: np.ndarray, centroids: np.ndarray, steps: int = 50) -> np.ndarray:
+def refined(sample: np.ndarray, centroids: np.ndarray, steps: int = 100) -> np.ndarray:
     """Starting points improved on the sample first (Bradley and Fayyad 1998), to save full passes."""
     for _ in range(steps):
         label = squared_distances(sample, centroids).argmin(axis=1)
@@ -67,20 +67,6 @@ def refined(sample: np.ndarray, centroids: np.ndarray, steps: int = 50) -> np.nd
     return centroids
 
 
-def seed_samples(df: DataFrame, columns: Sequence[str], key: str, rows: int = SEED_ROWS) -> dict[str, np.ndarray]:
-    """About ``rows`` points per segment, chosen by a hash of the key. They only start the search."""
-    sizes = {row["_seg"]: row["n"] for row in df.groupBy("_seg").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return {}
-    resolution = 1_000_000
-    cut = F.lit(0)
-    for seg, n in sizes.items():
-        cut = F.when(F.col("_seg") == seg, int(min(1.0, rows / n) * resolution)).otherwise(cut)
-    picked = df.filter(key_hash(key, 77, resolution) < cut)
-    frame = picked.select("_seg", key, *columns).toPandas().sort_values(key)
-    return {seg: matrix(part, list(columns)) for seg, part in frame.groupby("_seg")}
-
-
 def fit_many(
     df: DataFrame,
     columns: Sequence[str],
@@ -94,9 +80,11 @@ def fit_many(
     """{(segment, K): best clustering} for every segment and every K; rows with nulls left out."""
     columns = list(columns)
     points = keyed(df, segment).select("_seg", key, *columns).na.drop()
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    held = df.storageLevel.useMemory
+    if not held:
+        points = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        samples = seed_samples(points, columns, key)
+        samples = hashed_samples(points, columns, key, SEED_ROWS)
         models: dict[tuple[str, int, int], np.ndarray] = {}
         for seg, sample in sorted(samples.items()):
             distinct = len(np.unique(sample, axis=0))
@@ -123,10 +111,12 @@ def fit_many(
                 old = models[model]
                 counts = table[:, 0]
                 new = np.where(counts[:, None] > 0, table[:, 2:] / np.maximum(counts, 1)[:, None], old)
+                gain = inertia[model] - table[:, 1].sum()
                 inertia[model] = table[:, 1].sum()
                 steps[model] += 1
                 models[model] = new
-                if ((new - old) ** 2).sum() <= TOLERANCE * spread[model[0]]:
+                settled = ((new - old) ** 2).sum() <= TOLERANCE * spread[model[0]]
+                if settled or gain <= LEAST_GAIN * inertia[model]:
                     active.discard(model)
         final = lloyd_sums(points, columns, models)
         best: dict[tuple[str, int], Clustering] = {}
@@ -137,7 +127,8 @@ def fit_many(
                 best[seg, k] = Clustering(centroids[order], value, steps[seg, k, restart])
         return best
     finally:
-        points.unpersist()
+        if not held:
+            points.unpersist()
 
 
 def lloyd_sums(points: DataFrame, columns: list[str], models: dict) -> dict:
@@ -145,7 +136,7 @@ def lloyd_sums(points: DataFrame, columns: list[str], models: dict) -> dict:
     by_segment: dict[str, list] = {}
     for model, centroids in models.items():
         by_segment.setdefault(model[0], []).append((model, centroids))
-    shared = points.sparkSession.sparkContext.broadcast(by_segment)
+    shared = Shared(points.sparkSession, by_segment)
 
     def sums(batch):
         for seg, part in batch.groupby("_seg", sort=False):
@@ -266,7 +257,7 @@ def silhouette_samples_euclidean(labelled: DataFrame, columns: Sequence[str], ma
     if len(held) > max_rows:
         raise ValueError(f"more than {max_rows} rows: use silhouette_samples")
     everyone, labels = matrix(held, columns), held["label"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast((everyone, labels))
+    shared = Shared(rows.sparkSession, (everyone, labels))
 
     def values(batches):
         points, all_labels = shared.value

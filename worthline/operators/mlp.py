@@ -1,0 +1,200 @@
+"""Small dense networks trained data-parallel, all segments in the same passes.
+
+A pass sends the current weights to every task; each Arrow batch runs mini-batch steps from them,
+and the results are averaged by rows (local updates with averaging, Stich 2019). The driver keeps one
+vector per segment, whatever the number of rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
+
+from worthline.operators.partials import Shared, collect_sums, keyed, matrix, sum_by_key
+from worthline.operators.scale import fit_scaler, fit_scaler_by, scale
+from worthline.operators.split import key_hash
+
+# Shape and training of the networks.
+HIDDEN = (128, 64, 32)
+DROPOUT = (0.3, 0.2, 0.0)
+BATCH = 32
+SEGMENT_EPOCHS, PATIENCE = 100, 5
+GLOBAL_EPOCHS = 16
+VALIDATION = 0.2
+RATE, BETA1, BETA2, TINY = 1e-3, 0.9, 0.999, 1e-7
+MIN_ROWS = 10
+
+
+class Network:
+    """Dense layers with ReLU and one linear output, over one flat weight vector."""
+
+    def __init__(self, inputs: int):
+        sizes = [inputs, *HIDDEN, 1]
+        self.shapes = list(zip(sizes[:-1], sizes[1:]))
+        self.size = sum(a * b + b for a, b in self.shapes)
+
+    def start(self, seed: int) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        parts = []
+        for a, b in self.shapes:
+            limit = np.sqrt(6 / (a + b))
+            parts += [rng.uniform(-limit, limit, a * b), np.zeros(b)]
+        return np.concatenate(parts)
+
+    def layers(self, w: np.ndarray):
+        at, out = 0, []
+        for a, b in self.shapes:
+            out.append((w[at : at + a * b].reshape(a, b), w[at + a * b : at + a * b + b]))
+            at += a * b + b
+        return out
+
+    def predict(self, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+        layers = self.layers(w)
+        for kernel, bias in layers[:-1]:
+            x = np.maximum(x @ kernel + bias, 0)
+        return (x @ layers[-1][0] + layers[-1][1]).ravel()
+
+    def gradient(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, rng) -> np.ndarray:
+        layers, inputs, masks = self.layers(w), [x], []
+        for (kernel, bias), drop in zip(layers[:-1], DROPOUT):
+            h = inputs[-1] @ kernel + bias
+            mask = h > 0
+            if drop:
+                mask = mask * (rng.random(h.shape) >= drop) / (1 - drop)
+            masks.append(mask)
+            inputs.append(h * mask)
+        delta = 2 * ((inputs[-1] @ layers[-1][0] + layers[-1][1]).ravel() - y)[:, None] / len(y)
+        parts = []
+        for i in range(len(layers) - 1, -1, -1):
+            parts = [(inputs[i].T @ delta).ravel(), delta.sum(axis=0), *parts]
+            if i:
+                delta = (delta @ layers[i][0].T) * masks[i - 1]
+        return np.concatenate(parts)
+
+    def epoch(self, state: np.ndarray, t: float, x, y, rng) -> tuple[np.ndarray, float]:
+        """One pass of mini-batches; ``state`` stacks weights and both moment estimates."""
+        w, m, v = (part.copy() for part in state)
+        order = rng.permutation(len(x))
+        for at in range(0, len(x), BATCH):
+            rows = order[at : at + BATCH]
+            g = self.gradient(w, x[rows], y[rows], rng)
+            t += 1
+            m = BETA1 * m + (1 - BETA1) * g
+            v = BETA2 * v + (1 - BETA2) * g * g
+            w -= RATE * (m / (1 - BETA1**t)) / (np.sqrt(v / (1 - BETA2**t)) + TINY)
+        return np.stack([w, m, v]), t
+
+
+@dataclass
+class MlpModel:
+    weights: np.ndarray
+    y_mean: float
+    y_std: float
+    epochs: int
+    validation_mse: float
+
+
+def fit_mlp(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    key: str,
+    segment: str | None = None,
+    split: str | None = "split",
+    epochs: int = SEGMENT_EPOCHS,
+    patience: int | None = PATIENCE,
+    seed: int = 42,
+    min_rows: int = MIN_ROWS,
+) -> tuple[dict[str, MlpModel], dict]:
+    """Networks per segment (key ``all`` without segments) and the scale of the inputs.
+
+    Rows with nulls are left out. The weights with the least validation error are kept; without
+    ``patience`` the last ones.
+    """
+    features = list(features)
+    rows = keyed(df, segment).filter(F.col(split) == "train") if split else keyed(df, segment)
+    rows = rows.select("_seg", key, *features, F.col(target).cast("double").alias("_y")).na.drop()
+    inputs = fit_scaler(rows, features)
+    stats = fit_scaler_by(rows, ["_y"], ["_seg"]).join(rows.groupBy("_seg").agg(F.count("*").alias("n")), "_seg")
+    targets = {row["_seg"]: (row["m__y"], row["s__y"]) for row in stats.collect() if row["n"] >= min_rows}
+    held_out = (key_hash(key, 31, 1000) < int(VALIDATION * 1000)).alias("_val")
+    rows = scale(rows, inputs).filter(F.col("_seg").isin(list(targets))).select("_seg", *features, "_y", held_out)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    net = Network(len(features))
+    state = {seg: np.stack([net.start(seed), np.zeros(net.size), np.zeros(net.size)]) for seg in targets}
+    steps = dict.fromkeys(targets, 0.0)
+    best: dict[str, MlpModel] = {}
+    active, waited = set(targets), dict.fromkeys(targets, 0)
+    try:
+        for epoch in range(epochs + 1):
+            if not active:
+                break
+            sums = epoch_sums(rows, features, net, {s: (state[s], steps[s]) for s in active}, targets, seed + epoch)
+            for seg in list(active):
+                if seg not in sums:
+                    active.discard(seg)
+                    continue
+                n, t, val_n, val_sse = sums[seg][-4:]
+                loss = val_sse / val_n if val_n else 0.0
+                if seg not in best or loss < best[seg].validation_mse or patience is None:
+                    best[seg], waited[seg] = MlpModel(state[seg][0], *targets[seg], epoch, loss), 0
+                else:
+                    waited[seg] += 1
+                if (patience is not None and waited[seg] >= patience) or n == 0:
+                    active.discard(seg)
+                else:
+                    state[seg], steps[seg] = (sums[seg][:-4] / n).reshape(3, net.size), t / n
+        return best, inputs
+    finally:
+        rows.unpersist()
+
+
+def epoch_sums(rows: DataFrame, features: list[str], net: Network, states: dict, targets: dict, seed: int) -> dict:
+    """Per segment: row-weighted sums of the updated states, of the step counts, and the validation
+    error of the weights that were sent out."""
+    shared = Shared(rows.sparkSession, states)
+
+    def sums(batch: pd.DataFrame):
+        for seg, part in batch.groupby("_seg", sort=False):
+            if seg not in shared.value:
+                continue
+            state, t = shared.value[seg]
+            mean, std = targets[seg]
+            x, y, val = matrix(part, features), (part["_y"].to_numpy() - mean) / std, part["_val"].to_numpy()
+            error = ((net.predict(state[0], x[val]) - y[val]) ** 2).sum()
+            n = int((~val).sum())
+            rng = np.random.default_rng([seed, n])
+            after, t = net.epoch(state, t, x[~val], y[~val], rng) if n else (state, t)
+            yield (seg,), np.concatenate([(after * n).ravel(), [n, t * n, val.sum(), error]])
+
+    out = {key[0]: v for key, v in collect_sums(sum_by_key(rows, "_seg string", sums)).items()}
+    shared.unpersist()
+    return out
+
+
+def score_mlp(df: DataFrame, models: dict[str, MlpModel], inputs: dict, features: Sequence[str], segment: str | None, name: str = "predicted") -> DataFrame:
+    """A prediction on every row in one pass, null where there is no model or an input is missing."""
+    shared = Shared(df.sparkSession, models)
+    features = list(features)
+    net = Network(len(features))
+
+    @F.pandas_udf("double")
+    def predict(values: pd.DataFrame) -> pd.Series:
+        out = pd.Series(np.nan, index=values.index)
+        complete = values[features].notna().all(axis=1)
+        for seg, part in values[complete].groupby("_seg"):
+            model = shared.value.get(seg)
+            if model is not None:
+                out.loc[part.index] = net.predict(model.weights, matrix(part, features)) * model.y_std + model.y_mean
+        return out
+
+    scaled = [((F.col(c) - F.lit(m)) / F.lit(s)).alias(c) for c, (m, s) in inputs.items()]
+    model_key = F.col(segment).cast("string") if segment else F.lit("all")
+    guess = predict(F.struct(model_key.alias("_seg"), *scaled))
+    return df.withColumn(name, F.when(~F.isnan(guess), guess))

@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worthline.operators.split import key_hash
+
 FLUSH_KEYS = 2_000
 
 
@@ -53,6 +56,26 @@ def collect_sums(df: DataFrame) -> dict[tuple, np.ndarray]:
     return {tuple(row)[:-1]: np.asarray(row["sums"]) for row in df.collect()}
 
 
+class Shared:
+    """A broadcast of objects whose classes the executors need not have installed."""
+
+    def __init__(self, spark, value):
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.opened = None
+
+    def __getstate__(self):
+        return {"packed": self.packed, "opened": None}
+
+    @property
+    def value(self):
+        if self.opened is None:
+            self.opened = cloudpickle.loads(self.packed.value)
+        return self.opened
+
+    def unpersist(self):
+        self.packed.unpersist()
+
+
 def matrix(batch: pd.DataFrame, columns: list[str]) -> np.ndarray:
     return np.column_stack([batch[c].to_numpy(dtype=float) for c in columns])
 
@@ -60,3 +83,18 @@ def matrix(batch: pd.DataFrame, columns: list[str]) -> np.ndarray:
 def keyed(df: DataFrame, segment: str | None) -> DataFrame:
     """Add the model key ``_seg``: the segment as text, or one constant for a global model."""
     return df.withColumn("_seg", F.col(segment).cast("string") if segment else F.lit("all"))
+
+
+def hashed_samples(df: DataFrame, columns: list[str], key: str, rows: int, seed: int = 77) -> dict[str, np.ndarray]:
+    """About ``rows`` points per segment ``_seg``, chosen by a hash of the key: starting points and
+    landmarks for fits that then read every row."""
+    sizes = {row["_seg"]: row["n"] for row in df.groupBy("_seg").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return {}
+    resolution = 1_000_000
+    cut = F.lit(0)
+    for seg, n in sizes.items():
+        cut = F.when(F.col("_seg") == seg, int(min(1.0, rows / n) * resolution)).otherwise(cut)
+    picked = df.filter(key_hash(key, seed, resolution) < cut)
+    frame = picked.select("_seg", key, *columns).toPandas().sort_values(key)
+    return {seg: matrix(part, list(columns)) for seg, part in frame.groupby("_seg")}

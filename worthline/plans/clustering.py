@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from worthline.operators import cluster_rules, kmeans, scale
 from worthline.operators.lookup import checked_small
@@ -36,7 +37,7 @@ def cluster_segments(
     """
     columns = list(columns)
     params = scale.fit_scaler_by(df.na.drop(subset=columns), columns, [segment])
-    scaled = scale.scale_by(df, params, columns, [segment])
+    scaled = scale.scale_by(df, params, columns, [segment]).persist(StorageLevel.MEMORY_AND_DISK)
     models = kmeans.fit_many(scaled, columns, key, range(1, most + 1), segment, restarts)
     spark = df.sparkSession
     sizes = {str(row[0]): row[1] for row in scaled.na.drop(subset=columns).groupBy(segment).count().collect()}
@@ -73,6 +74,7 @@ def cluster_segments(
         F.sum("inertia").alias("inertia"),
         (F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).alias("silhouette"),
     )
+    scaled.unpersist()
     picks = spark.createDataFrame(
         [(seg, elbows[seg], best.get(seg)) for seg in sorted(chosen)], f"{segment} string, k_elbow int, k_silhouette int"
     )
