@@ -9,24 +9,39 @@ from pyspark.sql import functions as F
 
 from worthline.functions.scalars import column, ratio
 from worthline.operators import quantiles
-from worthline.operators.lookup import lookup_join
+from worthline.operators.lookup import checked_small, lookup_join
 
 OVERFIT_LIMIT = 2.0
 SMALL_SHARE = 0.01
 
 
-def regression_metrics(df: DataFrame, keys: Sequence[str], real: str = "value", predicted: str = "predicted") -> DataFrame:
-    """n, R2, MAE, MSE and RMSE per group; rows without a prediction are left out."""
+def _group_sums(df: DataFrame, keys: Sequence[str], real: str, predicted: str) -> DataFrame:
     error = F.col(real) - F.col(predicted)
-    sums = df.filter(F.col(predicted).isNotNull() & F.col(real).isNotNull()).groupBy(*keys).agg(
+    return df.filter(F.col(predicted).isNotNull() & F.col(real).isNotNull()).groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.avg(F.abs(error)).alias("mae"),
         F.avg(error * error).alias("mse"),
         F.var_pop(real).alias("_var"),
+        F.avg(F.abs(real)).alias("_level"),
     )
-    return sums.select(
-        *keys, "n", (1 - ratio("mse", "_var")).alias("r2"), "mae", "mse", F.sqrt("mse").alias("rmse")
-    )
+
+
+def _scores(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return sums.select(*keys, "n", (1 - ratio("mse", "_var")).alias("r2"), "mae", "mse", F.sqrt("mse").alias("rmse"))
+
+
+def _mape(df: DataFrame, sums: DataFrame, keys: Sequence[str], real: str, predicted: str) -> DataFrame:
+    levels = sums.select(*keys, "_level")
+    rows = df.select(*keys, real, predicted)
+    joined = lookup_join(rows, levels, list(keys), "inner", null_safe=True) if keys else rows.withColumn("_level", levels.select("_level").scalar())
+    size = F.abs(real)
+    counted = F.when(size > F.col("_level") * SMALL_SHARE, F.abs(F.col(real) - F.col(predicted)) / size)
+    return joined.groupBy(*keys).agg((F.avg(counted) * 100).alias("mape"))
+
+
+def regression_metrics(df: DataFrame, keys: Sequence[str], real: str = "value", predicted: str = "predicted") -> DataFrame:
+    """n, R2, MAE, MSE and RMSE per group; rows without a prediction are left out."""
+    return _scores(_group_sums(df, keys, real, predicted), keys)
 
 
 def safe_mape(df: DataFrame, keys: Sequence[str], real: str = "value", predicted: str = "predicted") -> DataFrame:
@@ -34,11 +49,7 @@ def safe_mape(df: DataFrame, keys: Sequence[str], real: str = "value", predicted
 
     The group means are a small table joined back, so no group is gathered in one task.
     """
-    level = df.groupBy(*keys).agg(F.avg(F.abs(real)).alias("_level"))
-    joined = lookup_join(df, level, list(keys), "inner", null_safe=True) if keys else df.withColumn("_level", F.lit(level.first()[0]))
-    size = F.abs(real)
-    counted = F.when(size > F.col("_level") * SMALL_SHARE, F.abs(F.col(real) - F.col(predicted)) / size)
-    return joined.groupBy(*keys).agg((F.avg(counted) * 100).alias("mape"))
+    return _mape(df, _group_sums(df, keys, real, predicted), keys, real, predicted)
 
 
 def overfit_ratio(train, test, mode: str = "r2_abs") -> Column:
@@ -86,7 +97,10 @@ def within_pct_share(
 def segment_summary(scored: DataFrame, segment: str, split: str = "split", real: str = "value", predicted: str = "predicted", mode: str = "r2_abs") -> DataFrame:
     """One row per segment with train and test metrics and the overfit ratio, best test R2 first."""
     keys = [segment, split]
-    both = regression_metrics(scored, keys, real, predicted).join(safe_mape(scored.filter(F.col(predicted).isNotNull()), keys, real, predicted), keys)
+    sums = _group_sums(scored, keys, real, predicted)
+    known = checked_small(sums)
+    sums = sums if known is None else known
+    both = _scores(sums, keys).join(_mape(scored, sums, keys, real, predicted), keys)
     measures = ["n", "r2", "mae", "mse", "rmse", "mape"]
     wide = both.groupBy(segment).agg(
         *[F.max(F.when(F.col(split) == part, F.col(m))).alias(f"{part}_{m}") for part in ("train", "test") for m in measures]

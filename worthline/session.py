@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,3 +43,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_parallel(spark: SparkSession, function: Callable, items: Sequence, threads: int) -> dict:
+    """Run a fit per item from a few driver threads, so that small jobs overlap on the cluster."""
+    with ThreadPoolExecutor(threads) as pool:
+        jobs = {item: pool.submit(inheritable_thread_target(spark)(function), item) for item in items}
+        return {item: job.result() for item, job in jobs.items()}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from worthline.session import in_parallel
 from worthline.functions.scalars import NULL_TOKENS, null_tokens_to_null
 
 # Field names of the category dictionary documents.
@@ -34,34 +35,33 @@ def read_csv_null_tokens(
 def read_folder_union(
     spark: SparkSession, folder: str, required: Sequence[str], sep: str = ",", types: dict[str, str] | None = None
 ) -> DataFrame:
-    """Every CSV under a folder whose header has the required columns, with the union of columns.
+    """Every CSV in a folder whose header has the required columns, with the union of columns.
 
-    One pass finds the header line of each file; files with the same header are then read together,
-    so the number of scans is the number of distinct headers and not the number of files.
+    A table is a file or a folder of part files. Only the first line of each table is read to learn
+    its header; tables with the same header are then read by one scan.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
-    is_header = reduce(lambda a, b: a & b, [F.contains("value", F.lit(c)) for c in required])
-    headers = (
-        lines.filter(is_header)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
-        .filter("at = 0")
-        .distinct()
-        .groupBy("value")
-        .agg(F.collect_set("path").alias("paths"))
-        .collect()
-    )
+    listing = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder).inputFiles()
+    top = folder.rstrip("/").split(":")[-1]
+    tables_found = sorted({f if _parent(f).endswith(top) else _parent(f) for f in listing})
+    found = in_parallel(spark, lambda t: tuple(spark.read.csv(t, header=True, sep=sep, escape='"').columns), tables_found, 16)
+    headers: dict[tuple, list[str]] = {}
+    for path, names in found.items():
+        headers.setdefault(names, []).append(path)
     tables = []
-    for header in headers:
-        names = [c.strip().strip('"') for c in header["value"].split(sep)]
+    for names, paths in headers.items():
         if set(required) <= set(names):
             schema = StructType([StructField(c, StringType()) for c in names])
-            table = spark.read.schema(schema).csv(header["paths"], header=True, sep=sep, escape='"')
+            table = spark.read.schema(schema).csv(paths, header=True, sep=sep, escape='"')
             tables.append(table.select(*[F.col(f"`{c}`").try_cast((types or {}).get(c, "string")).alias(c) for c in names]))
     if not tables:
         raise ValueError(f"no file under {folder} has the columns {list(required)}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def _parent(path: str) -> str:
+    return path.rsplit("/", 1)[0]
+
+
 def read_folder_excluding(spark: SparkSession, folder: str, schema, excluded: Sequence[str]) -> DataFrame:
     """Every CSV table in a folder except the named ones; whole files are skipped."""
     table_name = F.element_at(F.split("_metadata.file_path", "/"), -2)
