@@ -7,6 +7,7 @@ from worthline.catalog.shape_queries import p
 from worthline.operators import cluster_rules, kmeans, scale
 from worthline.plans.clustering import cluster_segments
 from worthline.plans.entities import entities
+from worthline.session import written
 
 # Two columns on a common scale; fixed centroids on the diagonal, K of them spread over -2 .. 2.
 Z = """z as (select entity_id, segment, raw_value, f_acctbal, (raw_value - 250000) / 145000 x, (f_acctbal - 4500) / 3200 y from entities)"""
@@ -178,5 +179,5 @@ def _(spark, folder):
 
 @query("clustering_summary")
 def _(spark, folder):
-    df = entities(spark, folder).select("entity_id", "segment", "value", "f_acctbal")
+    df = written(entities(spark, folder).select("entity_id", "segment", "value", "f_acctbal"), "clustering")
     return cluster_segments(df, ["value", "f_acctbal"], "entity_id", "segment").summary

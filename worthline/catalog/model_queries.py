@@ -8,15 +8,20 @@ from worthline.operators.impute import impute_median
 from worthline.operators.split import kfold, with_split
 from worthline.plans.entities import FEATURES, entities
 from worthline.plans.selection import select_features
+from worthline.session import written
 
 TARGET = "value"
 INPUTS = [*FEATURES, "raw_value"]
 
 
 def modelled(spark, folder):
-    """Entities with a split and without missing features."""
+    """Entities with a split and without missing features.
+
+    Fits and scores read the rows many times, so the joins behind them are run once and written.
+    """
     df = entities(spark, folder).withColumn("split", F.when(F.col("h_split") < 800, "train").otherwise("test"))
     df = df.select("entity_id", "segment", "country", "split", *[F.col(c).cast("double").alias(c) for c in INPUTS], TARGET)
+    df = written(df, "modelled")
     return impute_median(df, ["f_qty", "f_disc", "f_tax", "f_lines"], where=F.col("split") == "train")
 
 
@@ -59,7 +64,7 @@ def _(spark, folder):
 
 @query("lasso_select_pipeline")
 def _(spark, folder):
-    df = entities(spark, folder).select("entity_id", "segment", *INPUTS, TARGET)
+    df = written(entities(spark, folder).select("entity_id", "segment", *INPUTS, TARGET), "selection")
     return select_features(df, INPUTS, TARGET, "entity_id", "segment", ["f_acctbal"]).selected
 
 

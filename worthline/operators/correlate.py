@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import sqrt
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +40,16 @@ def pearson_vs_target(df: DataFrame, columns: Sequence[str], target: str, **opti
 
 def corr_matrix_top(df: DataFrame, columns: Sequence[str], target: str, top: int = 15, **options) -> DataFrame:
     """Lower triangle (row, column, r) over the ``top`` strongest columns and the target."""
-    ranked = pearson_vs_target(df, columns, target, **options).limit(top).collect()
-    names = [row["variable"] for row in ranked] + [target]
+    names = [*columns, target]
     filled = impute_median(df.select(*names), names, **options)
+    present = filled.agg(*[F.count(c).alias(c) for c in columns]).first()
+    names = [c for c in columns if present[c]] + [target]
     (moments,) = moments_by(filled, names).values()
     table = correlation(moments)
-    rows = [(names[i], names[j], float(table[i, j])) for i in range(len(names)) for j in range(i)]
+    strength = np.nan_to_num(np.abs(table[-1, :-1]), nan=-1.0)
+    order = [i for i in sorted(range(len(strength)), key=lambda i: (-strength[i], names[i])) if strength[i] >= 0]
+    chosen = [*order[:top], len(names) - 1]
+    rows = [(names[i], names[j], float(table[i, j])) for at, i in enumerate(chosen) for j in chosen[:at]]
     return df.sparkSession.createDataFrame(rows, "row string, column string, r double")
 
 

@@ -17,9 +17,9 @@ from pyspark.storagelevel import StorageLevel
 
 from worthline.functions.scalars import ratio
 from worthline.operators.lookup import lookup_join
-from worthline.operators.partials import Shared, collect_sums, hashed_samples, keyed, matrix, sum_by_key
+from worthline.operators.partials import Shared, collect_sums, hashed_samples, keyed, matrix, spread, sum_by_key
 
-SEED_ROWS = 4_000
+SEED_ROWS = 2_000
 RESTARTS = 10
 MAX_STEPS = 40
 TOLERANCE = 1e-4
@@ -54,7 +54,7 @@ def starting_points(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.
     return np.array(chosen)
 
 
-def refined(sample: np.ndarray, centroids: np.ndarray, steps: int = 100) -> np.ndarray:
+def refined(sample: np.ndarray, centroids: np.ndarray, steps: int = 50) -> np.ndarray:
     """Starting points improved on the sample first (Bradley and Fayyad 1998), to save full passes."""
     for _ in range(steps):
         label = squared_distances(sample, centroids).argmin(axis=1)
@@ -82,7 +82,7 @@ def fit_many(
     points = keyed(df, segment).select("_seg", key, *columns).na.drop()
     held = df.storageLevel.useMemory
     if not held:
-        points = points.persist(StorageLevel.MEMORY_AND_DISK)
+        points = spread(points, key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         samples = hashed_samples(points, columns, key, SEED_ROWS)
         models: dict[tuple[str, int, int], np.ndarray] = {}
@@ -155,6 +155,46 @@ def lloyd_sums(points: DataFrame, columns: list[str], models: dict) -> dict:
     return out
 
 
+def mean_silhouettes(
+    df: DataFrame, columns: Sequence[str], models: dict[tuple[str, int], Clustering], segment: str | None = None
+) -> dict[tuple[str, int], float]:
+    """{(segment, K): mean silhouette} of fitted clusterings with K >= 2, in two passes for all of them.
+
+    Squared Euclidean, as ``silhouette_samples``: the first pass gives size, mean and spread of every
+    cluster, the second adds up the values of the rows.
+    """
+    columns = list(columns)
+    points = keyed(df, segment).select("_seg", *columns).na.drop()
+    centroids = {(seg, k, 0): m.centroids for (seg, k), m in models.items() if k >= 2}
+    shapes = {}
+    for (seg, k, _), table in lloyd_sums(points, columns, centroids).items():
+        n = table[:, 0]
+        mean = table[:, 2:] / np.maximum(n, 1)[:, None]
+        shift = ((mean - centroids[seg, k, 0]) ** 2).sum(axis=1)
+        spread_of = table[:, 1] / np.maximum(n, 1) - shift
+        shapes.setdefault(seg, []).append((k, centroids[seg, k, 0], n, mean, spread_of))
+    shared = Shared(points.sparkSession, shapes)
+
+    def sums(batch):
+        for seg, part in batch.groupby("_seg", sort=False):
+            x = matrix(part, columns)
+            at = np.arange(len(x))
+            for k, centres, n, mean, spread_of in shared.value.get(seg, ()):
+                label = squared_distances(x, centres).argmin(axis=1)
+                far = np.where(n > 0, squared_distances(x, mean) + spread_of, np.inf)
+                own = n[label]
+                a = far[at, label] * own / np.maximum(own - 1, 1)
+                far[at, label] = np.inf
+                b = far.min(axis=1)
+                top = np.maximum(a, b)
+                value = np.where((own > 1) & (top > 0) & np.isfinite(b), (b - a) / np.where(top > 0, top, 1), 0.0)
+                yield (seg, k), np.array([len(x), value.sum()])
+
+    totals = collect_sums(sum_by_key(points, "_seg string, k int", sums))
+    shared.unpersist()
+    return {key: float(total / n) for key, (n, total) in totals.items()}
+
+
 def nearest(columns: Sequence[str], centroids: Sequence[Sequence[float]]) -> Column:
     """struct(sq_dist, label) of the nearest centroid as one expression: no join with the centroids."""
     options = []

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from worthline.operators.partials import Shared, collect_sums, keyed, matrix, sum_by_key
+from worthline.operators.partials import Shared, collect_sums, keyed, matrix, spread, sum_by_key
 from worthline.operators.scale import fit_scaler, fit_scaler_by, scale
 from worthline.operators.split import key_hash
 
@@ -124,7 +124,7 @@ def fit_mlp(
     stats = fit_scaler_by(rows, ["_y"], ["_seg"]).join(rows.groupBy("_seg").agg(F.count("*").alias("n")), "_seg")
     targets = {row["_seg"]: (row["m__y"], row["s__y"]) for row in stats.collect() if row["n"] >= min_rows}
     held_out = (key_hash(key, 31, 1000) < int(VALIDATION * 1000)).alias("_val")
-    rows = scale(rows, inputs).filter(F.col("_seg").isin(list(targets))).select("_seg", *features, "_y", held_out)
+    rows = spread(scale(rows, inputs).filter(F.col("_seg").isin(list(targets))), key).select("_seg", *features, "_y", held_out)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     net = Network(len(features))
     state = {seg: np.stack([net.start(seed), np.zeros(net.size), np.zeros(net.size)]) for seg in targets}

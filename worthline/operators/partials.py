@@ -80,6 +80,16 @@ def matrix(batch: pd.DataFrame, columns: list[str]) -> np.ndarray:
     return np.column_stack([batch[c].to_numpy(dtype=float) for c in columns])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows evenly over as many partitions as the session plans for, for fits that read them often.
+
+    Without this a table of a few compact partitions would keep most cores idle in every pass.
+    """
+    spark = df.sparkSession
+    planned = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(planned, spark.sparkContext.defaultParallelism), key)
+
+
 def keyed(df: DataFrame, segment: str | None) -> DataFrame:
     """Add the model key ``_seg``: the segment as text, or one constant for a global model."""
     return df.withColumn("_seg", F.col(segment).cast("string") if segment else F.lit("all"))

@@ -29,21 +29,17 @@ def per_column(df: DataFrame, columns: Sequence[str], measures: dict) -> DataFra
 
 def describe_numeric(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
     """count, mean, sample std, min, quartiles and max of each column."""
-    basic = per_column(
-        df,
-        columns,
-        {
-            "n": F.count,
-            "mean": F.avg,
-            "std": F.stddev_samp,
-            "min": lambda c: F.min(c).cast("double"),
-            "max": lambda c: F.max(c).cast("double"),
-        },
-    )
-    quartiles = quantiles.percentile_row(df, columns, [0.25, 0.5, 0.75], **options)
-    rows = [(c, *quartiles[c]) for c in columns]
-    names = df.sparkSession.createDataFrame(rows, "variable string, p25 double, p50 double, p75 double")
-    return basic.join(F.broadcast(names), "variable")
+    measures = {
+        "n": F.count,
+        "mean": F.avg,
+        "std": F.stddev_samp,
+        "min": lambda c: F.min(c).cast("double"),
+        "max": lambda c: F.max(c).cast("double"),
+    }
+    aggs = [f(c).alias(f"{c}__{m}") for c in columns for m, f in measures.items()]
+    exact = {f"{c}__p{p}": (c, p / 100) for c in columns for p in (25, 50, 75)}
+    row = quantiles.aggregate(df, [], aggs, exact, **options)
+    return row.select(F.explode(one_row_per(columns, [*measures, "p25", "p50", "p75"])).alias("r")).select("r.*")
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -29,14 +29,19 @@ def percentiles(
     group is longer, the order statistics are found by cells instead (see ``_by_cells``).
     """
     df = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= inline_rows:
+    if _largest_group(df, keys) <= inline_rows:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         return df.groupBy(*keys).agg(*[F.percentile(c, wanted).alias(c) for c in columns])
     return _by_cells(df, list(columns), list(probs), list(keys), bins)
 
 
+def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group: counts combine before the shuffle and one number comes back."""
+    if not keys:
+        return df.count()
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), **options) -> DataFrame:
     """One row per group: the median of each column."""
     table = percentiles(df, columns, [0.5], keys, **options)
@@ -149,12 +154,16 @@ def aggregate(
     One shuffle when every group fits a task, otherwise the percentiles come from cells and are
     joined to the other aggregates by group.
     """
-    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= inline_rows:
-        return df.groupBy(*keys).agg(
-            *aggs, *[F.percentile(F.col(c).cast("double"), F.lit(float(p))).alias(a) for a, (c, p) in exact.items()]
-        )
+    keys = list(keys)
     columns = sorted({c for c, _ in exact.values()})
+    if _largest_group(df, keys) <= inline_rows:
+        asked = {c: sorted({float(p) for x, p in exact.values() if x == c}) for c in columns}
+        arrays = [
+            F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(f"_p_{c}") for c, probs in asked.items()
+        ]
+        table = df.groupBy(*keys).agg(*aggs, *arrays)
+        picked = [F.element_at(f"_p_{c}", asked[c].index(float(p)) + 1).alias(a) for a, (c, p) in exact.items()]
+        return table.select("*", *picked).drop(*[f"_p_{c}" for c in columns])
     probs = sorted({float(p) for _, p in exact.values()})
     arrays = percentiles(df, columns, probs, keys, inline_rows, bins)
     picked = arrays.select(

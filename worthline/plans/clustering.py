@@ -11,6 +11,7 @@ from pyspark.storagelevel import StorageLevel
 
 from worthline.operators import cluster_rules, kmeans, scale
 from worthline.operators.lookup import checked_small
+from worthline.operators.partials import spread
 from worthline.functions.scalars import quality_band
 
 
@@ -37,7 +38,7 @@ def cluster_segments(
     """
     columns = list(columns)
     params = scale.fit_scaler_by(df.na.drop(subset=columns), columns, [segment])
-    scaled = scale.scale_by(df, params, columns, [segment]).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = spread(scale.scale_by(df, params, columns, [segment]), key).persist(StorageLevel.MEMORY_AND_DISK)
     models = kmeans.fit_many(scaled, columns, key, range(1, most + 1), segment, restarts)
     spark = df.sparkSession
     sizes = {str(row[0]): row[1] for row in scaled.na.drop(subset=columns).groupBy(segment).count().collect()}
@@ -51,12 +52,11 @@ def cluster_segments(
     chosen = {seg: max(2, min(k, most, sizes[seg] // 5)) for seg, k in elbows.items()}
     labelled = kmeans.assign(scaled, columns, {seg: models[seg, k].centroids for seg, k in chosen.items() if (seg, k) in models}, segment)
 
-    options = {}
-    for seg, k, _ in table:
-        if k >= 2:
-            options.setdefault(k, {})[seg] = models[seg, k].centroids
-    by_k = silhouettes(scaled, columns, segment, options)
-    best = {row[segment]: row["k"] for row in kmeans.best_k(by_k, [segment]).collect()}
+    rated = kmeans.mean_silhouettes(scaled, columns, {(seg, k): models[seg, k] for seg, k, _ in table}, segment)
+    best: dict[str, int] = {}
+    for (seg, k), value in sorted(rated.items()):
+        if seg not in best or value > rated[seg, best[seg]]:
+            best[seg] = k
 
     samples = kmeans.silhouette_samples(labelled, columns, [segment])
     per_cluster = samples.groupBy(segment, "label").agg(
@@ -85,16 +85,3 @@ def cluster_segments(
         .select(segment, "n", "k_elbow", "k_silhouette", "k", "inertia", "silhouette", "band", "good", "fair", "poor", "overall")
     )
     return ClusteredSegments(labelled, per_cluster, summary)
-
-
-def silhouettes(scaled: DataFrame, columns: list[str], segment: str, options: dict) -> DataFrame:
-    """(segment, k, silhouette): one labelled copy of the rows per K, then linear-time silhouettes."""
-    best = []
-    for k, centroids in sorted(options.items()):
-        label = F.lit(None).cast("int")
-        for seg, points in centroids.items():
-            label = F.when(F.col(segment).cast("string") == seg, kmeans.nearest(columns, points)["label"]).otherwise(label)
-        best.append(F.struct(F.lit(k).alias("k"), label.alias("label")))
-    copies = scaled.select(segment, *columns, F.explode(F.array(*best)).alias("_l")).select(segment, *columns, "_l.k", "_l.label")
-    samples = kmeans.silhouette_samples(copies, columns, [segment, "k"])
-    return samples.groupBy(segment, "k").agg(F.avg("silhouette").alias("silhouette"))
