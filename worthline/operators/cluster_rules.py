@@ -81,13 +81,13 @@ def method_agreement(df: DataFrame, a: str = "k_elbow", b: str = "k_silhouette")
 def quality_totals(df: DataFrame) -> DataFrame:
     """Clusterings by overall quality, with the good, fair and poor clusters they hold."""
     rated = df.withColumn("quality", overall_band("good", "poor", "k"))
-    total = df.agg(F.count("*")).scalar()
     out = rated.groupBy("quality").agg(
         F.count("*").alias("n"),
         F.sum("good").alias("n_good"),
         F.sum("fair").alias("n_fair"),
         F.sum("poor").alias("n_poor"),
     )
+    total = out.agg(F.sum("n")).scalar()
     return out.withColumn("pct", F.col("n") * 100.0 / total)
 
 

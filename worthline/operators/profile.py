@@ -72,9 +72,10 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 
 
 def value_share(df: DataFrame, column: str) -> DataFrame:
-    """Frequency with percentage; the total is a scalar subquery, not a window over one partition."""
+    """Frequency with percentage; the total is a scalar subquery over the same counts (whose shuffle
+    is reused), not a window over one partition."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("pct", F.col("n") * 100.0 / total)
 
 

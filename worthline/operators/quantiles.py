@@ -24,12 +24,12 @@ def percentiles(
 ) -> DataFrame:
     """One row per group of ``keys``: for each column the array of its percentiles at ``probs``.
 
-    Linear interpolation between order statistics, nulls ignored. Groups of at most ``inline_rows``
-    rows use the built-in aggregate, whose state is a value-count map held by one task. If any
-    group is longer, the order statistics are found by cells instead (see ``_by_cells``).
+    Linear interpolation between order statistics, nulls ignored. If no group has more than
+    ``inline_rows`` values over all columns, the built-in aggregate is used, whose state is a
+    value-count map per column held by one task. If any group is longer, the order statistics are found by cells instead (see ``_by_cells``).
     """
     df = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    if _largest_group(df, keys) <= inline_rows:
+    if _largest_group(df, keys) * len(columns) <= inline_rows:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         return df.groupBy(*keys).agg(*[F.percentile(c, wanted).alias(c) for c in columns])
     return _by_cells(df, list(columns), list(probs), list(keys), bins)
@@ -156,7 +156,7 @@ def aggregate(
     """
     keys = list(keys)
     columns = sorted({c for c, _ in exact.values()})
-    if _largest_group(df, keys) <= inline_rows:
+    if _largest_group(df, keys) * len(columns) <= inline_rows:
         asked = {c: sorted({float(p) for x, p in exact.values() if x == c}) for c in columns}
         arrays = [
             F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(f"_p_{c}") for c, probs in asked.items()
