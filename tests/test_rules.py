@@ -188,8 +188,10 @@ def test_codes_outside_the_dictionary_become_null(spark):
 def test_correlation_p_value(spark):
     xs = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
     ys = [2.0, 1.0, 4.0, 3.0, 6.0, 5.0]
-    df = spark.createDataFrame([(x, y, None) for x, y in zip(xs, ys)], "x double, y double, z double")
-    (row,) = correlate.pearson_vs_target(df, ["x", "z"], "y").collect()
+    df = spark.createDataFrame([(x, y, None, 4.0) for x, y in zip(xs, ys)], "x double, y double, z double, same double")
+    (row,) = correlate.pearson_vs_target(df, ["x", "z", "same"], "y").collect()
+    (pair,) = correlate.corr_matrix_top(df, ["x", "z", "same"], "y").collect()
+    assert pair["r"] == pytest.approx(29 / 35)
     assert row["correlation"] == pytest.approx(29 / 35)
     assert row["p_value"] == pytest.approx(0.0415626822, abs=1e-8)
 
@@ -197,6 +199,7 @@ def test_correlation_p_value(spark):
 def test_constant_group_scores(spark):
     df = spark.createDataFrame([("a", 5.0, 4.0), ("a", 5.0, 6.0), ("b", 0.0, 1.0)], "g string, value double, predicted double")
     got = {r["g"]: r for r in metrics.regression_metrics(df, ["g"]).collect()}
-    assert got["a"]["r2"] is None and got["a"]["mae"] == 1.0
+    assert got["a"]["r2"] == 0.0 and got["a"]["mae"] == 1.0
+    assert got["b"]["r2"] is None and got["b"]["n"] == 1
     mape = {r["g"]: r["mape"] for r in metrics.safe_mape(df, ["g"]).collect()}
     assert mape == {"a": pytest.approx(20.0), "b": None}

@@ -60,12 +60,12 @@ NORMAL = ", ".join(f"({i + 1}, {q!r}::double)" for i, q in enumerate(chartdata.n
     "qq_points",
     f"""with t as (select segment, value - predicted res from entities), q as (select * from (values {NORMAL}) x(point, theoretical)),
     o as (select segment, unnest(quantile_cont(res, [{", ".join(str((i + 1) / 100) for i in range(99))}])) observed, unnest(range(1, 100)) point from t group by segment)
-    select segment, point::int point, round(theoretical, 6) + 0.0 theoretical, round(observed, 3) + 0.0 observed from o join q using (point)""",
+    select segment, point::int point, round(theoretical, 6) + 0.0 theoretical, round(round(observed, 8), 3) + 0.0 observed from o join q using (point)""",
 )
 def _(spark, folder):
     df = entities(spark, folder).select("segment", (F.col("value") - F.col("predicted")).alias("res"))
     out = chartdata.qq_points(df, "res", ["segment"])
-    return out.select("segment", "point", r("theoretical", 6).alias("theoretical"), r("observed", 3).alias("observed"))
+    return out.select("segment", "point", r("theoretical", 6).alias("theoretical"), r(F.round("observed", 8), 3).alias("observed"))
 
 
 @query("identity_bounds", "select segment, round(least(min(value), min(predicted)), 4) + 0.0 low, round(greatest(max(value), max(predicted)), 4) + 0.0 high from entities group by segment")
@@ -77,11 +77,11 @@ def _(spark, folder):
 @query(
     "cluster_bar_normalised",
     """with m as (select grp, avg(raw_value) / 1e6 main_mean, avg(f_acctbal) other_mean from entities group by grp)
-    select grp, round(main_mean, 6) + 0.0 main_mean, round(other_mean, 4) + 0.0 other_mean, round(other_mean * (select max(main_mean) / max(other_mean) from m), 6) + 0.0 other_scaled from m""",
+    select grp, round(round(main_mean, 10), 6) + 0.0 main_mean, round(round(other_mean, 8), 4) + 0.0 other_mean, round(other_mean * (select max(main_mean) / max(other_mean) from m), 6) + 0.0 other_scaled from m""",
 )
 def _(spark, folder):
     out = chartdata.bars_normalised(entities(spark, folder), "grp", "raw_value", "f_acctbal")
-    return out.select("grp", r("main_mean", 6).alias("main_mean"), r("other_mean").alias("other_mean"), r("other_scaled", 6).alias("other_scaled"))
+    return out.select("grp", r(F.round("main_mean", 10), 6).alias("main_mean"), r(F.round("other_mean", 8)).alias("other_mean"), r("other_scaled", 6).alias("other_scaled"))
 
 
 _WIDE = ", ".join(f"max({m}) filter (split = '{s}') {s}_{m}" for s in ("train", "test") for m in ("r2", "mae", "mse", "rmse", "mape"))
@@ -101,12 +101,12 @@ def _(spark, folder):
 
 @query(
     "cluster_means",
-    """select grp, count(*) n, round(avg(f_acctbal), 4) + 0.0 x, round(avg(raw_value), 4) + 0.0 y, (select min(f_acctbal) from entities) x_min, (select max(f_acctbal) from entities) x_max,
+    """select grp, count(*) n, round(round(avg(f_acctbal), 8), 4) + 0.0 x, round(round(avg(raw_value), 8), 4) + 0.0 y, (select min(f_acctbal) from entities) x_min, (select max(f_acctbal) from entities) x_max,
     (select min(raw_value) from entities) y_min, (select max(raw_value) from entities) y_max from entities group by grp""",
 )
 def _(spark, folder):
     out = chartdata.group_means(entities(spark, folder), "grp", "f_acctbal", "raw_value")
-    return out.withColumns({"x": r("x"), "y": r("y")})
+    return out.withColumns({"x": r(F.round("x", 8)), "y": r(F.round("y", 8))})
 
 
 @query(

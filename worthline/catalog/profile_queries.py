@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from worthline.catalog.registry import query, r
 from worthline.catalog.shape_queries import PEOPLE, p
+from worthline.functions.scalars import correlation
 from worthline.operators import correlate, gram, mapping, metrics, profile, ranking
 from worthline.operators.split import with_split
 from worthline.plans.entities import FEATURES, entities, people, table
@@ -83,13 +84,13 @@ def _(spark, folder):
 
 
 PROFILE_AGGS = {"mean": "avg({c})", "median": "median({c})", "std": "stddev_samp({c})", "min": "min({c})", "max": "max({c})"}
-PROFILE_SQL = ", ".join(f"round({f.format(c=c)}, 3) + 0.0 as {c}_{m}" for c in ("raw_value", "f_acctbal") for m, f in PROFILE_AGGS.items())
+PROFILE_SQL = ", ".join(f"round(round({f.format(c=c)}, 8), 3) + 0.0 as {c}_{m}" for c in ("raw_value", "f_acctbal") for m, f in PROFILE_AGGS.items())
 
 
 @query("cluster_profile", f"select grp, count(*) n, {PROFILE_SQL} from ({PEOPLE}) group by grp")
 def _(spark, folder):
     df = profile.group_profile(p(spark, folder), "grp", ["raw_value", "f_acctbal"])
-    return df.select("grp", "n", *[r(f"{c}_{m}", 3).alias(f"{c}_{m}") for c in ("raw_value", "f_acctbal") for m in PROFILE_AGGS])
+    return df.select("grp", "n", *[r(F.round(f"{c}_{m}", 8), 3).alias(f"{c}_{m}") for c in ("raw_value", "f_acctbal") for m in PROFILE_AGGS])
 
 
 @query("cluster_value_range", f"select grp, round(max(raw_value) - min(raw_value), 4) + 0.0 value_range from ({PEOPLE}) group by grp")
@@ -273,7 +274,7 @@ sel as (select *, variable = 'f_acctbal' as protected, row_number() over (partit
 
 
 def importance(spark, folder):
-    row = entities(spark, folder).groupBy("country").agg(*[F.corr(c, "value").alias(f"{c}__coefficient") for c in FEATURES])
+    row = entities(spark, folder).groupBy("country").agg(*[correlation(c, "value").alias(f"{c}__coefficient") for c in FEATURES])
     long = row.select(F.col("country").alias("segment"), F.explode(profile.one_row_per(FEATURES, ["coefficient"])).alias("r"))
     return long.select("segment", "r.variable", r("r.coefficient", 6).alias("coefficient"))
 
@@ -340,11 +341,11 @@ def _(spark, folder):
 
 @query(
     "cv_history_best",
-    """with t as (select grp::bigint trial, round(corr(f_qty, value), 6) + 0.0 score from entities group by grp)
+    """with t as (select grp::bigint trial, case when not isnan(corr(f_qty, value)) then round(corr(f_qty, value), 6) + 0.0 end score from entities group by grp)
     select trial, score, max(score) over (order by trial) best from t""",
 )
 def _(spark, folder):
-    trials = entities(spark, folder).groupBy(F.col("grp").alias("trial")).agg(r(F.corr("f_qty", "value"), 6).alias("score"))
+    trials = entities(spark, folder).groupBy(F.col("grp").alias("trial")).agg(r(correlation("f_qty", "value"), 6).alias("score"))
     return ranking.running_best(trials)
 
 
@@ -443,7 +444,7 @@ def _(spark, folder):
     "segment_summary",
     f"""with {SCORES}, {MAPE} select country, max(n) filter (split = 'train') train_n, max(n) filter (split = 'test') test_n,
       round(max(r2) filter (split = 'train'), 6) + 0.0 train_r2, round(max(r2) filter (split = 'test'), 6) + 0.0 test_r2, round(max(rmse) filter (split = 'test'), 3) + 0.0 test_rmse,
-      round(max(mape) filter (split = 'test'), 5) + 0.0 test_mape, round(abs(max(r2) filter (split = 'train') / max(r2) filter (split = 'test')), 6) + 0.0 overfit_ratio
+      round(max(mape) filter (split = 'test'), 5) + 0.0 test_mape, round(case when max(r2) filter (split = 'test') > 0 then max(r2) filter (split = 'train') / max(r2) filter (split = 'test') else abs(max(r2) filter (split = 'train') / max(r2) filter (split = 'test')) end, 6) + 0.0 overfit_ratio
       from s join m using (country, split) group by country""",
 )
 def _(spark, folder):
@@ -453,7 +454,7 @@ def _(spark, folder):
 
 @query(
     "problem_segments",
-    f"""with {SCORES}, o as (select country, abs(train_r2 / test_r2) ratio from t)
+    f"""with {SCORES}, o as (select country, case when test_r2 > 0 then train_r2 / test_r2 else abs(train_r2 / test_r2) end ratio from t)
     select round(avg(ratio), 5) + 0.0 mean_ratio, count(*) filter (ratio > 1.01) n_problem, string_agg(country, ', ' order by country) filter (ratio > 1.01) problem from o""",
 )
 def _(spark, folder):

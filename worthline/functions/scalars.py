@@ -192,3 +192,12 @@ def variation_class(relative_std) -> Column:
     """How much a target varies around its mean: above three times the mean, or under a tenth."""
     v = column(relative_std)
     return F.when(v > 3, "high").when(v < 0.1, "low").otherwise("normal")
+
+
+def correlation(x, y) -> Column:
+    """Pearson r of the rows where both are present; null where either is constant (the built-in
+    aggregate divides by zero there and fails)."""
+    x, y = column(x), column(y)
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)

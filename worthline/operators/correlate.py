@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worthline.functions.scalars import correlation as pearson
 from worthline.operators.gram import correlation, moments_by
 from worthline.operators.impute import impute_median
 
@@ -30,7 +31,7 @@ def pearson_vs_target(df: DataFrame, columns: Sequence[str], target: str, **opti
     Nulls become the column median; columns without any value and constant columns are left out.
     """
     filled = impute_median(df.select(*columns, target), [*columns, target], **options)
-    row = filled.agg(F.count("*").alias("n"), *[F.corr(c, target).alias(c) for c in columns]).first()
+    row = filled.agg(F.count("*").alias("n"), *[pearson(c, target).alias(c) for c in columns]).first()
     spark = df.sparkSession
     found = [(c, row[c]) for c in columns if row[c] is not None and row[c] == row[c]]
     rows = [(c, float(r), t_tail(spark, r, row["n"]), abs(float(r))) for c, r in found]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worthline.functions.scalars import inf_to_null, ratio, rounded, to_number
+from worthline.functions.scalars import correlation, inf_to_null, ratio, rounded, to_number
 from worthline.operators import quantiles
 
 TOLERANCE = 25.0
@@ -206,7 +206,7 @@ def report_rows(df: DataFrame, keys: Sequence[str], real: str = "value", predict
         ("deviation", "rel_error"): F.avg(F.abs("rel_diff")),
         ("deviation", "pct_over"): ratio(F.count_if(F.col("abs_diff") > 0), F.count("*")) * 100,
         ("deviation", "pct_under"): ratio(F.count_if(F.col("abs_diff") < 0), F.count("*")) * 100,
-        ("correlation", "real_vs_predicted"): F.corr(real, predicted),
+        ("correlation", "real_vs_predicted"): correlation(real, predicted),
     }
     row = df.agg(*[m.alias(f"m{i}") for i, m in enumerate(measures.values())])
     lines = F.array(

@@ -101,7 +101,7 @@ def fit_many(
                         models[seg, k, restart] = start
         inertia, steps = dict.fromkeys(models, np.inf), dict.fromkeys(models, 0)
         active = set(models)
-        spread = {seg: sample.var(axis=0).mean() or 1.0 for seg, sample in samples.items()}
+        variance = {seg: sample.var(axis=0).mean() or 1.0 for seg, sample in samples.items()}
         for _ in range(max_steps):
             if not active:
                 break
@@ -115,7 +115,7 @@ def fit_many(
                 inertia[model] = table[:, 1].sum()
                 steps[model] += 1
                 models[model] = new
-                settled = ((new - old) ** 2).sum() <= TOLERANCE * spread[model[0]]
+                settled = ((new - old) ** 2).sum() <= TOLERANCE * variance[model[0]]
                 if settled or gain <= LEAST_GAIN * inertia[model]:
                     active.discard(model)
         final = lloyd_sums(points, columns, models)

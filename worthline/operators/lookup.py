@@ -51,8 +51,9 @@ def spread_join(left: DataFrame, table: DataFrame, on: Sequence[str], how: str,
     Hot keys hold more than ``HOT_SHARE`` of the rows of ``left``, so there are fewer than
     1/``HOT_SHARE`` of them; only their entries in ``table`` are repeated.
     """
-    total = left.count()
-    keys = left.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > max(1.0, total * HOT_SHARE))
+    counts = left.groupBy(*on).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    keys = counts.filter(F.col("_n") > total * HOT_SHARE)
     hot = checked_small(keys.select(*on, F.lit(SALTS).alias("_salts")), int(1 / HOT_SHARE))
     hot = F.broadcast(hot.withColumnsRenamed({name: f"_hot_{name}" for name in on}))
     marks = _equal([(name, f"_hot_{name}") for name in on], True)

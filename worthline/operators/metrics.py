@@ -27,7 +27,10 @@ def _group_sums(df: DataFrame, keys: Sequence[str], real: str, predicted: str) -
 
 
 def _scores(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return sums.select(*keys, "n", (1 - ratio("mse", "_var")).alias("r2"), "mae", "mse", F.sqrt("mse").alias("rmse"))
+    """R2 of a constant target is 1 if it is met exactly and else 0; of a single row it is null."""
+    constant = F.when(F.col("mse") == 0, 1.0).otherwise(0.0)
+    r2 = F.when(F.col("n") > 1, F.when(F.col("_var") == 0, constant).otherwise(1 - ratio("mse", "_var")))
+    return sums.select(*keys, "n", r2.alias("r2"), "mae", "mse", F.sqrt("mse").alias("rmse"))
 
 
 def _mape(df: DataFrame, sums: DataFrame, keys: Sequence[str], real: str, predicted: str) -> DataFrame:

@@ -54,9 +54,10 @@ def any_column_contains(names: Sequence[str], text: str) -> Column:
 def numeric_condition(df: DataFrame, text: str, aliases: dict[str, str] | None = None) -> Column | None:
     """``field op number`` as a predicate, or None if the text is not of that form.
 
-    Field names are matched without case, after aliases; an unknown field raises.
+    The number is a run of digits. Field names are matched without case, after aliases; an unknown
+    field raises.
     """
-    match = re.search(r"(\w+)\s*(>=|<=|>|<|=)\s*(\d+(?:\.\d+)?)", text)
+    match = re.search(r"(\w+)\s*(>=|<=|>|<|=)\s*(\d+)", text)
     if not match:
         return None
     field, op, number = match.groups()
