@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from worthline.functions import scalars
 from worthline.operators import (
+    chartdata,
     cluster_rules,
     columns,
     correlate,
@@ -44,11 +45,26 @@ def test_elbow_distance_and_groups(spark):
     assert got == {str(g): k for g, (_, k) in enumerate(SERIES)}
 
 
-def test_elbow_with_two_points_is_three(spark):
-    df = spark.createDataFrame([(1, 9.0), (2, 4.0)], "k int, inertia double")
+@pytest.mark.parametrize("points", [[(1, 9.0), (2, 4.0)], [(1, 9.0)]])
+def test_elbow_with_few_points_is_three(spark, points):
+    df = spark.createDataFrame(points, "k int, inertia double")
     assert cluster_rules.elbow_k(df).first()["k"] == 3
 
 
+def test_reports_of_tables_without_rows_or_spread(spark):
+    none = spark.createDataFrame([], "id long, v double, w double")
+    one = spark.createDataFrame([(1, 4.0, 4.0), (2, 4.0, 5.0)], "id long, v double, w double")
+    assert deviation.iqr_outliers(none, "v").count() == 0
+    assert deviation.quartile_band_error(none, "v", "w").count() == 4
+    assert chartdata.density_grid(none, "v").count() == 0
+    assert chartdata.density_grid(one, "v").count() == 0
+    assert chartdata.histogram(one, "v", 4).agg(F.sum("n")).first()[0] == 2
+    assert chartdata.box_stats(one, "v").first()["whisker_high"] == 4.0
+    assert profile.describe_numeric(none, ["v"]).first()["n"] == 0
+    assert metrics.regression_metrics(none, [], "v", "w").first()["n"] == 0
+    assert scale.fit_scaler(none, ["v"]) == {"v": (0.0, 1.0)}
+
+
 def test_choose_k_clamps(spark):
     df = spark.createDataFrame([(1, 10), (4, 10), (12, 10), (9, 6)], "elbow int, top int")
     got = [r[0] for r in df.select(cluster_rules.choose_k(F.col("elbow"), F.col("top"))).collect()]
@@ -164,6 +180,8 @@ def test_split_depends_on_the_key_only(spark):
     one = split.with_split(df.repartition(3), "k").filter("split = 'test'")
     two = split.with_split(df.coalesce(1), "k").filter("split = 'test'")
     assert one.exceptAll(two).count() == 0
+    negative = split.with_split(spark.range(-20_000, 0).withColumnRenamed("id", "k"), "k")
+    assert negative.filter("split = 'test'").count() / 20_000 == pytest.approx(0.2, abs=0.01)
     assert one.count() / 20_000 == pytest.approx(0.2, abs=0.01)
     assert split.small_set_test_share(20) == 0.25
     assert split.small_set_test_share(1000) == 0.1

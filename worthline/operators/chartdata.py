@@ -100,7 +100,9 @@ def density_grid(df: DataFrame, column: str, keys: Sequence[str] = (), points: i
         joined = lookup_join(values, fit, keys, "inner", null_safe=True)
     else:
         row = fit.first()
-        joined = values.withColumns({c: F.lit(row[c]) for c in ("_n", "_lo", "_hi", "_h")})
+        known = row.asDict() if row else {}
+        joined = values.withColumns({c: F.lit(known.get(c)).cast("double") for c in ("_n", "_lo", "_hi", "_h")})
+        joined = joined.filter("_h > 0")
     spread = joined.select(*keys, "_v", "_n", "_lo", "_hi", "_h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     x = F.col("_lo") + F.col("point") * (F.col("_hi") - F.col("_lo")) / (points - 1)
     u = (x - F.col("_v")) / F.col("_h")

@@ -44,7 +44,7 @@ def elbow_k(inertia: DataFrame, keys: Sequence[str] = (), k: str = "k", value: s
     up = F.col("_y2") - F.col("_y1")
     across = F.col("_x2") - F.col("_x1")
     area = up * F.col("_x") - across * F.col("_y") + F.col("_x2") * F.col("_y1") - F.col("_y2") * F.col("_x1")
-    points = points.withColumn("distance", F.abs(area) / F.sqrt(up * up + across * across))
+    points = points.withColumn("distance", ratio(F.abs(area), F.sqrt(up * up + across * across)))
     points = second_difference(points, keys, k, value)
     # the difference that starts at place i selects place i + 2 of the list of K
     points = points.withColumn("_k_alt", F.lead(k, 2).over(Window.partitionBy(*keys).orderBy(k)))

@@ -181,7 +181,8 @@ def quartile_band_error(df: DataFrame, real: str, error: str, **options) -> Data
 def iqr_outliers(df: DataFrame, error: str, reach: float = 1.5, **options) -> DataFrame:
     """Flag rows whose error lies more than ``reach`` interquartile ranges above the third quartile."""
     q1, q3 = quantiles.percentile_row(df, [error], [0.25, 0.75], **options)[error]
-    return df.withColumn("is_outlier", F.col(error) > F.lit(q3 + reach * (q3 - q1)))
+    fence = None if q1 is None else q3 + reach * (q3 - q1)
+    return df.withColumn("is_outlier", F.col(error) > F.lit(fence).cast("double"))
 
 
 def segment_error(df: DataFrame, segment: str, error: str, top: int = 8, more_than: int = 5) -> DataFrame:

@@ -13,7 +13,7 @@ SEED_STEP = 69621
 
 def key_hash(key: str, seed: int, buckets: int) -> Column:
     """Bucket 0..buckets-1 of an integer key, in arithmetic that any SQL engine repeats exactly."""
-    folded = (F.col(key) % MODULUS) * MULTIPLIER + seed * SEED_STEP
+    folded = F.pmod(F.col(key), F.lit(MODULUS)) * MULTIPLIER + seed * SEED_STEP
     return folded % MODULUS % buckets
 
 
