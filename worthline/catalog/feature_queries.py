@@ -7,7 +7,7 @@ from worthline.catalog.shape_queries import PEOPLE, p
 from worthline.operators import impute, mapping, profile, scale
 from worthline.operators.assemble import assemble
 from worthline.operators.split import with_folds, with_split
-from worthline.plans.entities import FEATURES, entities
+from worthline.plans.entities import FEATURES, entities, table
 
 ENCODED = ["segment", "country", "sponsor", "name"]
 
@@ -186,3 +186,16 @@ def _(spark, folder):
     columns = ["f_qty", "f_acctbal", "value"]
     points, _ = pca_2d(scale.scale(df, scale.fit_scaler(df, columns)), columns)
     return points.select("entity_id", "segment", "pc1", "pc2")
+
+
+@query(
+    "denormalise_lookup",
+    """with c as (select c_custkey, (c_acctbal - (select avg(c_acctbal) from customer)) / (select stddev_pop(c_acctbal) from customer) as scaled from customer)
+    select c_custkey, round(scaled * (select stddev_samp(s_acctbal) from supplier) + (select avg(s_acctbal) from supplier), 4) + 0.0 as balance from c""",
+)
+def _(spark, folder):
+    customers = table(spark, folder, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"))
+    suppliers = table(spark, folder, "supplier").select(F.col("s_acctbal").alias("balance"))
+    scaled = scale.scale(customers, scale.fit_scaler(customers, ["balance"]))
+    out = scale.unscale_from_original(scaled, suppliers, ["balance"], ddof=1)
+    return out.select("c_custkey", r("balance").alias("balance"))
