@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from worthline.llm.common import crc_part
 from worthline.llm.fingerprints import edited_fingerprints
 from worthline.llm.languages import fit_languages, predict_languages
+from worthline.llm.mixing import mix
+from worthline.llm.neighbours import nearest
+from worthline.llm.quality import fit_quality, quality_scores
 from worthline.llm.token_codec import round_trip
 from worthline.llm.token_counts import token_counts
 
@@ -58,3 +61,27 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = fit_languages(documents.filter(crc_part("doc_id", 4) != 2))
     held_out = (crc_part("doc_id", 4) == 2).alias("held_out")
     return predict_languages(documents, model).select("doc_id", held_out, "lang_pred", "score")
+
+
+@query
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; labels of the held-out third are never read by the fit."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "quality").filter(crc_part("doc_id", 3) != 1)
+    model = fit_quality(documents.join(labels, "doc_id"))
+    scored = quality_scores(documents, model)
+    held_out = (crc_part("doc_id", 3) == 1).alias("held_out")
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out, "score", predicted, "bad_share")
+
+
+@query
+def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The slot of every document in a mix by the square roots of the source sizes."""
+    return mix(table(spark, folder, "documents").select("doc_id", "source"))

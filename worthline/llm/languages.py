@@ -23,6 +23,7 @@ from worthline.llm.common import (
     sigmoid,
     texts,
 )
+from worthline.operators.partials import Shared
 
 # Families of closely related languages; any other label is a family of its own.
 FAMILIES = {
@@ -178,7 +179,7 @@ def predict_languages(df: DataFrame, model: LanguageModel, key: str = "doc_id",
     Texts that are null or hold no letter get ``und`` with score 0, as does every text under a model
     fitted on no rows. Whole texts are read; repeated rows get equal results; other columns are not read.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(df.sparkSession, model)
     source = picked(df, key, text)
 
     def make():
