@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from worthline.llm.common import crc_part
 from worthline.llm.fingerprints import edited_fingerprints
 from worthline.llm.languages import fit_languages, predict_languages
+from worthline.llm.licences import scan_licences
 from worthline.llm.mixing import mix
+from worthline.llm.near_copies import near_classes
 from worthline.llm.neighbours import nearest
+from worthline.llm.personal import find_personal, fit_personal
 from worthline.llm.quality import fit_quality, quality_scores
 from worthline.llm.token_codec import round_trip
 from worthline.llm.token_counts import token_counts
@@ -85,3 +88,39 @@ def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """The slot of every document in a mix by the square roots of the source sizes."""
     return mix(table(spark, folder, "documents").select("doc_id", "source"))
+
+
+@query
+def op1_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence of every document, its own or that of the nearest directory above.
+
+    A document lies in source/language/thousand/hundred; one that states a licence speaks for its directory.
+    """
+    place = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100), F.concat("doc_id", F.lit(".txt")))
+    files = table(spark, folder, "documents").select("doc_id", "text", place.alias("path"))
+    return scan_licences(files, licence_file=F.lit(True))
+
+
+@query
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data in every document: those of the fixed patterns, and all."""
+    documents = table(spark, folder, "documents")
+    found = find_personal(documents, fit_personal(documents))
+    counts = ["n_email", "n_ip", "n_card", "n_phone"]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added")
+
+
+@query
+def op10_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_classes(table(spark, folder, "documents"))
+
+
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES["pipeline"] = pipeline

@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from worthline.llm.common import (
     map_batches,
     picked,
     sigmoid,
+    sliced,
     texts,
 )
 from worthline.operators.partials import Shared
@@ -198,3 +200,27 @@ def predict_languages(df: DataFrame, model: LanguageModel, key: str = "doc_id",
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return map_batches(source, f"doc_id {kind}, lang_pred string, score double", make)
+
+
+def keep_known(df: DataFrame, model: LanguageModel, text: str = "text", lang: str | None = None) -> DataFrame:
+    """The rows of ``df`` whose text has a predicted language, all columns as they are.
+
+    Rows predicted ``und`` (null texts, texts without a letter) go. With ``lang``, nulls of that
+    column are filled with the prediction.
+    """
+    shared = Shared(df.sparkSession, model)
+    schema = df.schema
+
+    def run(batches):
+        fitted = shared.value
+        for batch in batches:
+            for part in sliced(batch, text):
+                items = texts(part, text)
+                names = [n for start in range(0, len(items), 256) for n in fitted.predict(items[start : start + 256])[0]]
+                if lang is not None:
+                    place = part.schema.get_field_index(lang)
+                    filled = pc.coalesce(part.column(place), pa.array(names, part.schema.field(place).type))
+                    part = part.set_column(place, part.schema.field(place), filled)
+                yield part.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+
+    return df.mapInArrow(run, schema)

@@ -18,12 +18,14 @@ FIT_ROWS, FIT_STEPS = 8192, 8
 #: Lists per square root of the number of vectors, and the most lists (they are sent to every task).
 LISTS_PER_ROOT, MOST_LISTS = 2.0, 16384
 #: Share of the lists that each query probes. On vectors without clusters (the given tables are nearly so)
-#: half of the lists hold 94 % of the neighbours; clustered vectors need far fewer.
-PROBED = 0.5
+#: this share of the lists holds 97 % of the neighbours; clustered vectors need far fewer.
+PROBED = 0.6
 #: Columns read at a time, and how sure a test must be to abandon a candidate.
 BLOCK, SURENESS = 16, 2.1
 #: Vectors that one group of a task holds: short lists are put together, long ones are split.
 CHUNK = 4096
+#: Queries that meet a group in one task.
+QUERY_CHUNK = 8192
 
 
 @dataclass
@@ -162,7 +164,8 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: s
     Equal vectors are stored once, with their ``k + 1`` smallest ids: no other copy can be among the
     first ``k`` of any query, as all copies tie. Lists are packed into groups of about ``CHUNK``
     vectors, long ones split over several, and each query goes once to every group that holds a list
-    it probes, so no group is too long for a task.
+    it probes, so no group is too long for a task; with very many queries a group is
+    met by ``QUERY_CHUNK`` of them at a time.
     """
     spark = df.sparkSession
     vectors = usable(df, key, vector).filter(F.col("vec_id").isNotNull())
@@ -196,7 +199,9 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: s
         spark.createDataFrame([(i, int(first_group[i]), int(n_groups[i])) for i in range(n_lists)], "list int, first int, chunks int")
     )
     group = (F.col("first") + F.pmod(F.xxhash64("vector"), F.col("chunks"))).cast("int").alias("group")
-    stored = stored.join(layout, "list").select(group, "list", "vector", "ids", "turned")
+    turns = max(1, -(-vectors.filter(is_query).count() // QUERY_CHUNK))
+    turn = F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn")
+    stored = stored.join(layout, "list").select(group, "list", "vector", "ids", "turned").select("*", turn)
     n_probed = max(1, int(np.ceil(probed * n_lists)))
 
     def probe(batches):
@@ -218,6 +223,8 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: s
 
     asked = vectors.filter(is_query).mapInPandas(probe, f"group int, query_id {kind}, vector array<double>, lists array<int>")
 
+    asked = asked.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int"))
+
     def search(keys, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(theirs):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -240,7 +247,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: s
             out += [(query_id, i, -s) for s, i in rows[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    pairs = asked.groupBy("group").cogroup(stored.groupBy("group"))
+    pairs = asked.groupBy("group", "turn").cogroup(stored.groupBy("group", "turn"))
     found = pairs.applyInPandas(search, f"query_id {kind}, vec_id {kind}, score double")
     best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
