@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from worthline.llm.common import char_table, codepoints, map_batches, mixed, picked, run_hashes, runs_of, sliced, starts_of, texts
@@ -23,7 +23,7 @@ CELLS = 1 << 19
 CHUNK_CELLS = 1 << 16
 #: A shingle in fewer than one of RARE documents has the full weight 1 + BOOST; one in all has weight 1.
 RARE, BOOST = 500, 0.2
-#: Rounds in which the members of a bucket meet one leader; what is then still apart is compared in full.
+#: Rounds in which the members of a bucket meet one leader; what is then still apart is joined by rare shingles.
 LEADER_ROUNDS = 3
 
 _ONE = np.uint64(1)
@@ -173,7 +173,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame, shared: Shared) -> DataFrame:
-    """doc_id, text_key, content (key of the word sequence, null if blank) and band keys of every text."""
+    """doc_id, text_key, content (key of the word sequence, null if blank), size and band keys of every text."""
 
     def make():
         rarity = shared.value
@@ -195,12 +195,12 @@ def signed(docs: DataFrame, shared: Shared) -> DataFrame:
                     for i, row in zip(full, found):
                         bands[i] = row
                 begin = stop
-            return {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "content": keys, "bands": bands}
+            return {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "content": keys, "size": [int(c.sum()) for c in counts], "bands": bands}
 
         return run
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs, f"doc_id {kind}, text_key string, content binary, bands array<long>", make)
+    return map_batches(docs, f"doc_id {kind}, text_key string, content binary, size long, bands array<long>", make)
 
 
 def verified(pairs: DataFrame, bodies: DataFrame, shared: Shared) -> DataFrame:
@@ -230,6 +230,57 @@ def verified(pairs: DataFrame, bodies: DataFrame, shared: Shared) -> DataFrame:
     return written(found, "verified").filter(F.col("similarity") >= SIMILAR)
 
 
+def rare_pairs(nodes: DataFrame, bodies: DataFrame, shared: Shared) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (content, label) with different labels that can reach the threshold: none is missed.
+
+    Shingles are put in one order, rarest among these nodes first. Two texts whose similarity is at
+    least SIMILAR share a shingle in the part of each that remains until less than SIMILAR of its
+    weight is left. Text that many nodes repeat comes last in the order, so it brings no pairs
+    together unless little else is in them.
+    """
+
+    def make():
+        rarity = shared.value
+
+        def run(batch: pa.RecordBatch) -> dict:
+            values, counts, _ = shingles(texts(batch))
+            weights = [weights_of(v, c, rarity) for v, c in zip(values, counts)]
+            return {
+                "content": batch["content"],
+                "label": batch["label"],
+                "weight": [float(w.sum()) for w in weights],
+                "shingles": [v.view(np.int64) for v in values],
+                "weights": weights,
+            }
+
+        return run
+
+    schema = "content binary, label binary, weight double, shingles array<long>, weights array<double>"
+    vectors = written(map_batches(bodies.join(nodes.hint("merge"), "content").select("content", "label", "text"), schema, make), "vectors")
+    terms = vectors.select("content", "label", "weight", F.explode(F.arrays_zip("shingles", "weights")).alias("t"))
+    terms = terms.select("content", "label", "weight", F.col("t.shingles").alias("shingle"), F.col("t.weights").alias("part"))
+    shared_terms = terms.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    terms = terms.join(shared_terms.hint("merge"), "shingle")
+    order = Window.partitionBy("content").orderBy("df", "shingle")
+    terms = terms.select(
+        "content",
+        "label",
+        "weight",
+        "shingle",
+        (F.col("weight") - F.sum("part").over(Window.partitionBy("content")) + F.sum("part").over(order) - F.col("part")).alias("before"),
+    )
+    left = F.col("weight") - F.col("before")
+    prefix = terms.filter(F.col("before") <= (1 - SIMILAR) * F.col("weight") + 1e-6).select("content", "label", "weight", "shingle", left.alias("left"))
+    prefix = written(prefix, "prefixes")
+    other = prefix.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("content", "label", "weight", "left")))
+    # at the first shingle that a pair shares, what is left of both must hold all that they share
+    enough = F.least("left", "b_left") >= SIMILAR / (1 + SIMILAR) * (F.col("weight") + F.col("b_weight")) - 1e-6
+    met = prefix.join(other.hint("merge"), "shingle").filter(
+        (F.col("content") < F.col("b_content")) & (F.col("label") != F.col("b_label")) & enough
+    )
+    return met.select(F.col("content").alias("a"), F.col("b_content").alias("b"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of each connected component of the links (a, b).
 
@@ -258,8 +309,10 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     others of its class with other words; copies with the same words are one node and need no link.
 
     Candidates share a band of samples. In each bucket all members meet one leader, so the pairs grow
-    with the rows and not with the square of a bucket; buckets that still hold different components
-    get another leader, and after LEADER_ROUNDS every pair of different components in them is compared.
+    with the rows and not with the square of a bucket. The first leader is the shortest text: where a
+    bucket is held together by a passage, a text that is similar to any member is similar to the one
+    with least beside the passage. Buckets that still hold different components get another leader,
+    and after LEADER_ROUNDS all members of such buckets go through an exact join (``rare_pairs``).
 
     Null and blank texts are alone in their class, each row with its own id. Repeated rows are copies.
     A very long text is one row like any other. Other columns are not read.
@@ -268,8 +321,8 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     spark = df.sparkSession
     shared = Shared(spark, document_frequencies(docs.select("text")))
     rows = written(signed(docs, shared), "signed")
-    nodes = rows.filter(F.col("content").isNotNull()).groupBy("content").agg(F.min("text_key").alias("text_key"), F.first("bands").alias("bands"))
-    buckets = nodes.select("content", "text_key", F.explode("bands").alias("band"))
+    nodes = rows.filter(F.col("content").isNotNull()).groupBy("content").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    buckets = nodes.select("content", "text_key", "size", F.explode("bands").alias("band"))
     sizes = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = written(buckets.join(sizes.hint("merge"), "band").drop("n"), "buckets")
 
@@ -279,20 +332,27 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     bodies = written(bodies, "bodies")
 
     labels = buckets.select("content").distinct().select("content", F.col("content").alias("label"))
-    tested, links = None, None
+    tested, links, led = None, None, None
     for round_ in range(LEADER_ROUNDS + 1):
-        placed = buckets.select("band", "content").join(labels, "content")
+        placed = buckets.select("band", "content", "size").join(labels, "content")
+        if led is not None:
+            placed = placed.join(led, "content", "left")
+        else:
+            placed = placed.withColumn("led", F.lit(None).cast("int"))
+        first = [F.coalesce("led", F.lit(0)), F.col("size"), F.col("content")]
         apart = placed.groupBy("band").agg(
             F.min("label").alias("least"),
             F.max("label").alias("most"),
-            F.min_by(F.struct(F.col("content").alias("b"), F.col("label").alias("b_label")), F.struct(F.xxhash64("content", F.lit(round_)), "content")).alias("leader"),
+            F.min_by(F.struct(F.col("content").alias("b"), F.col("label").alias("b_label")), F.struct(*first)).alias("leader"),
         ).filter(F.col("least") != F.col("most"))
+        apart = written(apart, "leaders")
+        now = apart.select(F.col("leader.b").alias("content")).distinct().withColumn("led", F.lit(1))
+        led = now if led is None else led.union(now).distinct()
         mixed_rows = placed.join(apart.select("band", "leader.*"), "band")
         if round_ < LEADER_ROUNDS:
             pairs = mixed_rows.filter(F.col("label") != F.col("b_label")).select(F.col("content").alias("a"), "b")
         else:
-            other = mixed_rows.select("band", F.col("content").alias("c"), F.col("label").alias("c_label"))
-            pairs = mixed_rows.join(other, "band").filter(F.col("label") < F.col("c_label")).select(F.col("content").alias("a"), F.col("c").alias("b"))
+            pairs = rare_pairs(mixed_rows.select("content", "label").distinct(), bodies, shared)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
