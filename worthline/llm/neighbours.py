@@ -20,6 +20,8 @@ LISTS_PER_ROOT, MOST_LISTS = 2.0, 16384
 #: Share of the lists that each query probes. On vectors without clusters (the given tables are nearly so)
 #: this share of the lists holds 97 % of the neighbours; clustered vectors need far fewer.
 PROBED = 0.6
+#: A query probes further lists until they hold this many vectors for each neighbour asked for, or all.
+LEAST_SCANNED = 20
 #: Columns read at a time, and how sure a test must be to abandon a candidate.
 BLOCK, SURENESS = 16, 2.1
 #: Vectors that one group of a task holds: short lists are put together, long ones are split.
@@ -203,6 +205,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: s
     turn = F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn")
     stored = stored.join(layout, "list").select(group, "list", "vector", "ids", "turned").select("*", turn)
     n_probed = max(1, int(np.ceil(probed * n_lists)))
+    held = np.array([sizes.get(i, 0) for i in range(n_lists)])
 
     def probe(batches):
         own = shared.value
@@ -211,11 +214,12 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: s
             if not len(batch):
                 continue
             gaps = squares - 2 * own.rotated(_stack(batch["vector"]), False) @ own.centres.T
-            best = np.argsort(gaps, axis=1, kind="stable")[:, :n_probed].astype(np.int32)
+            best = np.argsort(gaps, axis=1, kind="stable").astype(np.int32)
             out = []
             for query_id, vector_, lists_ in zip(batch["vec_id"].tolist(), batch["vector"], best):
                 in_groups: dict[int, list[int]] = {}
-                for i in lists_.tolist():
+                enough = int(np.searchsorted(np.cumsum(held[lists_]), LEAST_SCANNED * k)) + 1
+                for i in lists_[: max(n_probed, enough)].tolist():
                     for g in range(first_group[i], first_group[i] + n_groups[i]):
                         in_groups.setdefault(g, []).append(i)
                 out += [(g, query_id, vector_, members) for g, members in in_groups.items()]
