@@ -137,21 +137,22 @@ def fit_languages(
             return {
                 "label": batch["label"],
                 "total": total,
-                "place": [w.astype(np.int32) for w in full],
-                "value": [row[w] for row, w in zip(counts, full)],
+                "place": [w.astype(np.int32).tobytes() for w in full],
+                "value": [row[w].tobytes() for row, w in zip(counts, full)],
             }
 
         return run
 
-    grams = map_batches(sample, "label string, total long, place array<int>, value array<float>", make).filter("total > 0").collect()
-    grams.sort(key=lambda r: (r["label"], r["total"], r["place"]))
+    grams = map_batches(sample, "label string, total long, place binary, value binary", make).filter("total > 0").collect()
+    grams.sort(key=lambda r: (r["label"], r["total"], bytes(r["place"])))
     names = np.array([r["label"] for r in grams])
     x = np.zeros((len(grams), ORDERS * BUCKETS), dtype=np.float32)
     for i, r in enumerate(grams):
-        x[i, r["place"]] = np.asarray(r["value"], dtype=np.float32) / r["total"]
+        x[i, np.frombuffer(r["place"], dtype=np.int32)] = np.frombuffer(r["value"], dtype=np.float32) / r["total"]
+    del grams
     spread = 1.0 / np.sqrt(x.mean(axis=0) + 1e-5) if len(x) else np.ones(x.shape[1])
     x *= spread.astype(np.float32)
-    norm = float(np.sqrt((x**2).sum(axis=1).mean())) if len(x) else 1.0
+    norm = float(np.sqrt(np.einsum("ij,ij->i", x, x).mean())) if len(x) else 1.0
     x /= np.float32(norm)
     home = {lang: family for family, langs in (families or FAMILIES).items() for lang in langs}
     members: dict[str, list[str]] = {}

@@ -202,20 +202,20 @@ def fit_quality(labelled: DataFrame, text: str = "text", label: str = "quality",
             bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             return {
                 "label": batch["label"],
-                "lines": [features[a:b].astype(np.float32).ravel() for a, b in zip(bounds, bounds[1:])],
-                "sizes": [size[a:b] for a, b in zip(bounds, bounds[1:])],
+                "lines": [features[a:b].astype(np.float32).tobytes() for a, b in zip(bounds, bounds[1:])],
+                "sizes": [size[a:b].tobytes() for a, b in zip(bounds, bounds[1:])],
             }
 
         return run
 
-    rows_ = map_batches(sample, "label int, lines array<float>, sizes array<long>", make).filter("size(sizes) > 0").collect()
+    rows_ = map_batches(sample, "label int, lines binary, sizes binary", make).filter("length(sizes) > 0").collect()
     if len({r["label"] for r in rows_}) < 2:
         return neutral
-    rows_.sort(key=lambda r: (r["label"], len(r["sizes"]), r["sizes"], r["lines"]))
-    features = np.concatenate([np.asarray(r["lines"], dtype=np.float64).reshape(-1, FEATURES) for r in rows_])
-    size = np.concatenate([np.asarray(r["sizes"], dtype=np.int64) for r in rows_])
+    rows_.sort(key=lambda r: (r["label"], bytes(r["sizes"]), bytes(r["lines"])))
+    features = np.concatenate([np.frombuffer(r["lines"], dtype=np.float32).reshape(-1, FEATURES) for r in rows_]).astype(np.float64)
+    size = np.concatenate([np.frombuffer(r["sizes"], dtype=np.int64) for r in rows_])
     labels = np.array([r["label"] for r in rows_])
-    doc = np.repeat(np.arange(len(rows_)), [len(r["sizes"]) for r in rows_])
+    doc = np.repeat(np.arange(len(rows_)), [len(r["sizes"]) // 8 for r in rows_])
     centre, spread = features.mean(axis=0), features.std(axis=0) + 1e-3
     x = _expand(features, centre, spread)
     # each document counts once, however many lines it has; lines count by length
