@@ -120,9 +120,9 @@ def _(spark, folder):
 
 @query(
     "scatter_sample",
-    """select entity_id, round(value, 4) + 0.0 x, round(predicted, 4) + 0.0 y, case when predicted > value then 'higher' when predicted < value then 'lower' else 'neutral' end kind
-    from entities where ((entity_id % 2147483647) * 48271 + 5 * 69621) % 2147483647 % 10000 < 1000""",
+    """select floor(value / 20000.0)::bigint value_bin, floor(predicted / 20000.0)::bigint predicted_bin,
+      case when predicted > value then 'higher' when predicted < value then 'lower' else 'neutral' end kind, count(*) n
+    from entities where value is not null and predicted is not null group by all""",
 )
 def _(spark, folder):
-    out = chartdata.scatter_sample(entities(spark, folder), "entity_id", "value", "predicted", direction_class("predicted", "value"))
-    return out.withColumns({"x": r("x"), "y": r("y")})
+    return chartdata.scatter_bins(entities(spark, folder), "value", "predicted", direction_class("predicted", "value"), 20000.0)

@@ -215,11 +215,11 @@ def _(spark, folder):
 
 @query(
     "sort_abs_desc",
-    f"with {DIFF} select entity_id, round(rel_diff, 6) + 0.0 rel_diff from d where rel_diff is not null order by abs(rel_diff) desc, entity_id limit 500",
+    f"with {DIFF} select entity_id, round(rel_diff, 6) + 0.0 rel_diff from d where rel_diff is not null order by abs(rel_diff) desc, entity_id",
 )
 def _(spark, folder):
     df = deviation.add_deviation(entities(spark, folder)).filter("rel_diff is not null")
-    ordered = df.orderBy(F.abs("rel_diff").desc(), "entity_id").limit(500)
+    ordered = df.orderBy(F.abs("rel_diff").desc(), "entity_id")
     return ordered.select("entity_id", r("rel_diff", 6).alias("rel_diff"))
 
 

@@ -6,7 +6,7 @@ from worthline.catalog.registry import query, r
 from worthline.catalog.shape_queries import PEOPLE, p
 from worthline.operators import impute, mapping, profile, scale
 from worthline.operators.assemble import assemble
-from worthline.operators.split import with_folds, with_split
+from worthline.operators.split import key_hash_sql, with_folds, with_split
 from worthline.plans.entities import FEATURES, entities, table
 
 ENCODED = ["segment", "country", "sponsor", "name"]
@@ -144,22 +144,23 @@ def _(spark, folder):
     return impute.impute_mode(df, "sponsor", ["country"]).select("entity_id", "sponsor")
 
 
-SPLIT = "case when ((entity_id % 2147483647) * 48271 + {s} * 69621) % 2147483647 % 1000 >= 200 then 'train' else 'test' end"
+def split_sql(seed):
+    return f"case when {key_hash_sql('entity_id', seed, 1000)} >= 200 then 'train' else 'test' end"
 
 
-@query("train_test_split", f"select entity_id, {SPLIT.format(s=42)} split from ({PEOPLE})")
+@query("train_test_split", f"select entity_id, {split_sql(42)} split from ({PEOPLE})")
 def _(spark, folder):
     return with_split(p(spark, folder), "entity_id").select("entity_id", "split")
 
 
-@query("tag_split", f"select entity_id, name, {SPLIT.format(s=42)} conjunto from ({PEOPLE})")
+@query("tag_split", f"select entity_id, name, {split_sql(42)} conjunto from ({PEOPLE})")
 def _(spark, folder):
     return with_split(p(spark, folder), "entity_id", name="conjunto").select("entity_id", "name", "conjunto")
 
 
 @query(
     "shuffle_split_cv",
-    " union all ".join(f"select entity_id, {i} as fold, {SPLIT.format(s=43 + i)} part from ({PEOPLE})" for i in range(5)),
+    " union all ".join(f"select entity_id, {i} as fold, {split_sql(43 + i)} part from ({PEOPLE})" for i in range(5)),
 )
 def _(spark, folder):
     return with_folds(p(spark, folder).select("entity_id"), "entity_id").select("entity_id", "fold", "part")

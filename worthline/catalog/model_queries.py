@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from worthline.catalog.registry import query, r
 from worthline.operators import gram, lasso, metrics, mapping, ranking, trees
 from worthline.operators.impute import impute_median
-from worthline.operators.split import kfold, with_split
+from worthline.operators.split import key_hash_sql, kfold, with_split
 from worthline.plans.entities import FEATURES, entities
 from worthline.plans.selection import select_features
 from worthline.session import written
@@ -31,7 +31,7 @@ _CENTRES = ", ".join(f"(select avg({c}) from g) m_{c}" for c in GRAM)
 
 @query(
     "lasso_gram",
-    f"""with g as (select *, ((entity_id % 2147483647) * 48271 + 143 * 69621) % 2147483647 % 5 as fold from entities where f_qty is not null)
+    f"""with g as (select *, {key_hash_sql('entity_id', 143, 5)} as fold from entities where f_qty is not null)
     select segment, fold::int fold, count(*) n, """
     + ", ".join(f"round(avg({c}), 4) + 0.0 mean_{c}" for c in GRAM)
     + ", "

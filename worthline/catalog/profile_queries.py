@@ -6,7 +6,7 @@ from worthline.catalog.registry import query, r
 from worthline.catalog.shape_queries import PEOPLE, p
 from worthline.functions.scalars import correlation
 from worthline.operators import correlate, gram, mapping, metrics, profile, ranking
-from worthline.operators.split import with_split
+from worthline.operators.split import key_hash_sql, with_split
 from worthline.plans.entities import FEATURES, entities, people, table
 
 NUMBERS = [*FEATURES, "raw_value", "value", "predicted"]
@@ -254,7 +254,7 @@ def _(spark, folder):
 
 @query(
     "recover_full_rows",
-    f"""select entity_id, name, country, split from (select *, case when ((entity_id % 2147483647) * 48271 + 42 * 69621) % 2147483647 % 1000 >= 200 then 'train' else 'test' end split from ({PEOPLE})) where split = 'test'""",
+    f"""select entity_id, name, country, split from (select *, case when {key_hash_sql('entity_id', 42, 1000)} >= 200 then 'train' else 'test' end split from ({PEOPLE})) where split = 'test'""",
 )
 def _(spark, folder):
     df = p(spark, folder)

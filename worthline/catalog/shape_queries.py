@@ -6,7 +6,7 @@ from worthline.catalog.io_queries import SEGMENT_NAMES
 from worthline.catalog.registry import query, r
 from worthline.functions import scalars
 from worthline.operators import columns, filters, mapping, search
-from worthline.operators.split import with_split
+from worthline.operators.split import key_hash_sql, with_split
 from worthline.plans.entities import FEATURES, entities, people, table
 
 PEOPLE = """select o_orderkey entity_id, c_name as name, o_orderstatus segment, o_custkey % 113 grp, n_name country,
@@ -154,7 +154,7 @@ def _(spark, folder):
 
 @query(
     "min_sample_guard",
-    f"""with s as (select *, case when ((entity_id % 2147483647) * 48271 + 42 * 69621) % 2147483647 % 1000 >= 200 then 'train' else 'test' end split from ({PEOPLE})),
+    f"""with s as (select *, case when {key_hash_sql('entity_id', 42, 1000)} >= 200 then 'train' else 'test' end split from ({PEOPLE})),
     g as (select name from s group by name having count(*) >= 10 and count(*) filter (split = 'test') >= 2)
     select entity_id, name from s where name in (select name from g)""",
 )
@@ -260,7 +260,7 @@ def _(spark, folder):
 
 @query(
     "union_train_test",
-    f"""select entity_id, case when ((entity_id % 2147483647) * 48271 + 42 * 69621) % 2147483647 % 1000 >= 200 then 'train' else 'test' end split from ({PEOPLE})""",
+    f"""select entity_id, case when {key_hash_sql('entity_id', 42, 1000)} >= 200 then 'train' else 'test' end split from ({PEOPLE})""",
 )
 def _(spark, folder):
     df = with_split(p(spark, folder).select("entity_id"), "entity_id")

@@ -79,7 +79,7 @@ def tidy_cell(c) -> Column:
 def name_from_file(c, prefix: str) -> Column:
     """``.../prefix_<name>.csv`` to ``Name``."""
     stem = F.regexp_extract(column(c), rf"{prefix}([^/]*?)\.csv", 1)
-    return F.concat(F.upper(F.substring(stem, 1, 1)), F.lower(F.substring(stem, 2, 10**6)))
+    return F.concat(F.upper(F.substring(stem, 1, 1)), F.lower(F.substr(stem, F.lit(2))))
 
 
 def format_currency(c) -> Column:

@@ -12,7 +12,6 @@ from worthline.functions.scalars import ratio
 from worthline.operators import quantiles
 from worthline.operators.lookup import lookup_join
 from worthline.operators.ordering import number_rows
-from worthline.operators.split import key_hash
 
 GRID_POINTS = 100
 WHISKER = 1.5
@@ -181,7 +180,11 @@ def silhouette_profile(samples: DataFrame, key: str, label: str = "label") -> Da
     return ordered.select(key, label, "place", "silhouette")
 
 
-def scatter_sample(df: DataFrame, key: str, x: str, y: str, kind: Column, share: float = 0.1, seed: int = 5) -> DataFrame:
-    """Points of a scatter chart with their class: a reproducible share of the rows by key."""
-    chosen = key_hash(key, seed, 10_000) < int(round(share * 10_000))
-    return df.filter(chosen).select(key, F.col(x).alias("x"), F.col(y).alias("y"), kind.alias("kind"))
+def scatter_bins(df: DataFrame, x: str, y: str, kind: Column, width: float) -> DataFrame:
+    """A scatter chart over all rows: the number of points of each class in square bins of ``width``.
+
+    Rows without either value are left out; bin i holds values from i to i + 1 times the width.
+    """
+    bins = [F.floor(F.col(c) / width).alias(f"{c}_bin") for c in (x, y)]
+    points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*bins, kind.alias("kind"))
+    return points.groupBy(f"{x}_bin", f"{y}_bin", "kind").agg(F.count("*").alias("n"))

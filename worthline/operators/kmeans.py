@@ -280,45 +280,6 @@ def silhouette_samples(labelled: DataFrame, columns: Sequence[str], keys: Sequen
     )
 
 
-EXACT_ROWS = 20_000
-
-
-def silhouette_samples_euclidean(labelled: DataFrame, columns: Sequence[str], max_rows: int = EXACT_ROWS) -> DataFrame:
-    """Silhouette on plain Euclidean distance, for tables of at most ``max_rows`` rows.
-
-    Every row needs its distance to every other, so the points must fit a task; a longer table is
-    refused and belongs to ``silhouette_samples``.
-    """
-    import pandas as pd
-
-    columns = list(columns)
-    rows = labelled.filter("label >= 0")
-    held = rows.select("label", *columns).limit(max_rows + 1).toPandas()
-    if len(held) > max_rows:
-        raise ValueError(f"more than {max_rows} rows: use silhouette_samples")
-    everyone, labels = matrix(held, columns), held["label"].to_numpy()
-    shared = Shared(rows.sparkSession, (everyone, labels))
-
-    def values(batches):
-        points, all_labels = shared.value
-        ids, counts = np.unique(all_labels, return_counts=True)
-        for batch in batches:
-            x, mine = matrix(batch, columns), batch["label"].to_numpy()
-            d = np.sqrt(squared_distances(x, points))
-            totals = np.stack([d[:, all_labels == i].sum(axis=1) for i in ids], axis=1)
-            own = np.searchsorted(ids, mine)
-            at = np.arange(len(x))
-            size = counts[own]
-            a = totals[at, own] / np.maximum(size - 1, 1)
-            means = totals / counts
-            means[at, own] = np.inf
-            b = means.min(axis=1)
-            yield batch.assign(silhouette=np.where(size > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0))
-
-    schema = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    return rows.mapInPandas(values, f"{schema}, silhouette double")
-
-
 def silhouette_by_cluster(samples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return samples.groupBy(*keys, "label").agg(
         F.count("*").alias("n"), F.avg("silhouette").alias("silhouette"), F.stddev_pop("silhouette").alias("silhouette_std")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,7 +104,9 @@ def segment_summary(scored: DataFrame, segment: str, split: str = "split", real:
     sums = _group_sums(scored, keys, real, predicted)
     known = checked_small(sums)
     sums = sums if known is None else known
-    both = _scores(sums, keys).join(_mape(scored, sums, keys, real, predicted), keys)
+    other = _mape(scored, sums, keys, real, predicted).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    both = _scores(sums, keys).join(other, same).drop(*[f"_{k}" for k in keys])
     measures = ["n", "r2", "mae", "mse", "rmse", "mape"]
     wide = both.groupBy(segment).agg(
         *[F.max(F.when(F.col(split) == part, F.col(m))).alias(f"{part}_{m}") for part in ("train", "test") for m in measures]

@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worthline.operators.split import key_hash
+from worthline.operators.lookup import lookup_join
 
 FLUSH_KEYS = 2_000
 
@@ -98,13 +98,17 @@ def keyed(df: DataFrame, segment: str | None) -> DataFrame:
 def hashed_samples(df: DataFrame, columns: list[str], key: str, rows: int, seed: int = 77) -> dict[str, np.ndarray]:
     """About ``rows`` points per segment ``_seg``, chosen by a hash of the key: starting points and
     landmarks for fits that then read every row."""
-    sizes = {row["_seg"]: row["n"] for row in df.groupBy("_seg").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return {}
-    resolution = 1_000_000
-    cut = F.lit(0)
-    for seg, n in sizes.items():
-        cut = F.when(F.col("_seg") == seg, int(min(1.0, rows / n) * resolution)).otherwise(cut)
-    picked = df.filter(key_hash(key, seed, resolution) < cut)
-    frame = picked.select("_seg", key, *columns).toPandas().sort_values(key)
-    return {seg: matrix(part, list(columns)) for seg, part in frame.groupby("_seg")}
+    sizes = df.groupBy("_seg").agg(F.count("*").alias("_n"))
+    picked = lookup_join(df.select("_seg", key, *columns), sizes, ["_seg"], "inner").filter(in_sample(key, seed, rows))
+    frame = picked.drop("_n").toPandas().sort_values(key)
+    samples = {seg: matrix(part, list(columns)) for seg, part in frame.groupby("_seg")}
+    missed = sizes.filter(F.col("_seg").isNotNull() & ~F.col("_seg").isin(list(samples))).limit(1).collect()
+    if missed:
+        raise ValueError(f"no row of the segment {missed[0]['_seg']} is in the sample")
+    return samples
+
+
+def in_sample(key: str, seed: int, rows: int):
+    """Whether a row of a group of ``_n`` rows is among about ``rows`` of them: exact for any ``_n``."""
+    share = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") / float(2**53)
+    return share * F.col("_n") < float(rows)

@@ -9,12 +9,29 @@ from pyspark.sql import functions as F
 MODULUS = 2147483647
 MULTIPLIER = 48271
 SEED_STEP = 69621
+SEED_FACTOR = 1103515245
+SEED_OFFSET = 12345
+
+
+def seed_multiplier(seed: int) -> int:
+    """The factor of a seed: another seed gives another order, not the same one shifted."""
+    return (seed * SEED_FACTOR + SEED_OFFSET) % MODULUS
 
 
 def key_hash(key: str, seed: int, buckets: int) -> Column:
-    """Bucket 0..buckets-1 of an integer key, in arithmetic that any SQL engine repeats exactly."""
-    folded = F.pmod(F.col(key), F.lit(MODULUS)) * MULTIPLIER + seed * SEED_STEP
-    return folded % MODULUS % buckets
+    """Bucket 0..buckets-1 of a key, in arithmetic that any SQL engine repeats exactly.
+
+    Keys that are no whole numbers go by the crc32 of their text.
+    """
+    number = F.coalesce(F.col(key).try_cast("bigint"), F.crc32(F.col(key).cast("string").cast("binary")))
+    folded = (F.pmod(number, F.lit(MODULUS)) * MULTIPLIER + seed * SEED_STEP) % MODULUS
+    return folded * F.lit(seed_multiplier(seed)).cast("bigint") % MODULUS % buckets
+
+
+def key_hash_sql(key: str, seed: int, buckets: int) -> str:
+    """``key_hash`` of a whole non-negative number, written out for the checking SQL."""
+    folded = f"((({key} % {MODULUS}) * {MULTIPLIER} + {seed} * {SEED_STEP}) % {MODULUS})"
+    return f"(({folded}::bigint * {seed_multiplier(seed)}::bigint) % {MODULUS} % {buckets})"
 
 
 def with_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42, name: str = "split") -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from worthline.operators import cluster_rules, kmeans, scale
-from worthline.operators.lookup import checked_small
 from worthline.operators.partials import spread
 from worthline.functions.scalars import quality_band
+from worthline.session import written
 
 
 @dataclass
@@ -65,9 +65,7 @@ def cluster_segments(
         F.stddev_pop("silhouette").alias("silhouette_std"),
         F.sum("sq_dist").alias("inertia"),
     )
-    per_cluster = checked_small(per_cluster)
-    if per_cluster is None:
-        raise ValueError("more clusters than a summary can hold: too many segments")
+    per_cluster = written(per_cluster, "per_cluster")
     quality = cluster_rules.cluster_quality(per_cluster, [segment])
     totals = per_cluster.groupBy(segment).agg(
         F.sum("n").alias("n"),

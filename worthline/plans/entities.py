@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worthline.operators.split import key_hash
+from worthline.operators.split import MODULUS, MULTIPLIER, SEED_STEP
 
 FEATURES = ["f_qty", "f_disc", "f_tax", "f_lines", "f_acctbal"]
 
@@ -35,6 +35,11 @@ entities as (
 """
 
 
+def stepped(key: str, step: int, buckets: int):
+    """A column of pseudo-random whole numbers that the checking SQL repeats."""
+    return (F.pmod(F.col(key), F.lit(MODULUS)) * MULTIPLIER + step * SEED_STEP) % MODULUS % buckets
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -53,8 +58,8 @@ def people(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 8 < 5, None).otherwise(F.col("c_mktsegment")).alias("sponsor"),
         F.col("c_acctbal").alias("f_acctbal"),
         F.col("o_totalprice").alias("raw_value"),
-        key_hash("o_orderkey", 7, 1000).alias("h_split"),
-        (key_hash("o_orderkey", 9, 20001) - 10000).alias("noise"),
+        stepped("o_orderkey", 7, 1000).alias("h_split"),
+        (stepped("o_orderkey", 9, 20001) - 10000).alias("noise"),
     )
 
 

@@ -63,10 +63,16 @@ def _parent(path: str) -> str:
 
 
 def read_folder_excluding(spark: SparkSession, folder: str, schema, excluded: Sequence[str]) -> DataFrame:
-    """Every CSV table in a folder except the named ones; whole files are skipped."""
-    table_name = F.element_at(F.split("_metadata.file_path", "/"), -2)
-    everything = spark.read.schema(schema).option("recursiveFileLookup", True).csv(folder, header=True, escape='"')
-    return everything.filter(~table_name.isin(list(excluded)))
+    """Every CSV table in a folder except the named ones; whole files are skipped.
+
+    A table is a file or a folder of part files, so either name can be excluded. Only ``*.csv`` is read.
+    """
+    parts = F.split("_metadata.file_path", "/")
+    reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    everything = reader.csv(folder, header=True, escape='"')
+    names = list(excluded)
+    left_out = F.element_at(parts, -1).isin(names) | F.element_at(parts, -2).isin(names)
+    return everything.filter(~left_out)
 
 
 def read_named_rows(spark: SparkSession, path: str, schema, name: str) -> DataFrame:
@@ -75,8 +81,17 @@ def read_named_rows(spark: SparkSession, path: str, schema, name: str) -> DataFr
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(variable, value, code, total) of a category dictionary written as JSON."""
-    parsed = spark.read.text(path).select(F.from_json("value", DICTIONARY_SCHEMA).alias("d"))
+    """(variable, value, code, total) of a category dictionary written as JSON.
+
+    A file holds one document, on one line or indented, or one document on each line. Text that is
+    neither raises.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    by_line = F.transform(lines, lambda x: F.from_json(x, DICTIONARY_SCHEMA))
+    documents = F.when(F.forall(by_line, lambda x: x.isNotNull()), by_line).otherwise(F.array(F.from_json("value", DICTIONARY_SCHEMA)))
+    parsed = whole.select(F.explode(documents).alias("d"))
+    parsed = parsed.select(F.when(F.col("d").isNull(), F.raise_error(F.lit("no category dictionary"))).otherwise(F.col("d")).alias("d"))
     columns = parsed.select(F.explode("d").alias("variable", "entry"))
     return columns.select(
         "variable", F.explode("entry.mapeo").alias("value", "code"), F.col("entry.total_categorias").alias("total")
