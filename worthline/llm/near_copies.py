@@ -24,7 +24,7 @@ CHUNK_CELLS = 1 << 16
 #: A shingle in fewer than one of RARE documents has the full weight 1 + BOOST; one in all has weight 1.
 RARE, BOOST = 500, 0.2
 #: Rounds in which the members of a bucket meet one leader; what is then still apart is joined by rare shingles.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 5
 
 _ONE = np.uint64(1)
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
