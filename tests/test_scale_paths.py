@@ -68,16 +68,28 @@ def test_spread_join_equals_broadcast_join(spark, skewed, how, null_safe):
     assert one.count() == two.count()
 
 
-def test_spread_join_splits_the_hot_key(spark, skewed):
-    table = spark.createDataFrame([("hot", 1), ("A", 2)], "k string, code int")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+def test_spread_join_splits_equal_rows_of_a_hot_key(spark):
+    left = spark.range(20_000).select(F.lit("hot").alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    table = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, w int")
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
     try:
-        joined = lookup.spread_join(skewed, table, ["k"], "inner")
-        parts = joined.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().count()
+        for name, value in zip(kept, ("-1", "false", "16")):
+            spark.conf.set(name, value)
+        joined = lookup.spread_join(left, table, ["k"], "inner")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert parts >= 1
-    assert joined.filter("k = 'hot'").count() == skewed.filter("k = 'hot'").count()
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == 20_000
+    assert len(sizes) > 8 and max(sizes) < 5_000
+
+
+def test_percentile_routes_agree_on_infinite_and_not_a_number(spark):
+    values = [float("-inf"), 1.0, 2.0, 5.0, float("inf"), float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    probs = [0.0, 0.1, 0.4, 0.6, 0.8, 1.0]
+    short, long = (quantiles.percentiles(df, ["v"], probs, inline_rows=n, bins=20).first()["v"] for n in (100, 0))
+    assert list(map(str, short)) == list(map(str, long))
 
 
 def test_long_dictionary_is_numbered_like_a_short_one(spark, small):

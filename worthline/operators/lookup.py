@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worthline.session import written
+
 BROADCAST_ROWS = 50_000
 SALTS = 64
 HOT_SHARE = 1 / 500
@@ -49,8 +51,11 @@ def spread_join(left: DataFrame, table: DataFrame, on: Sequence[str], how: str,
     """Shuffle join in which the rows of a hot key go to ``SALTS`` partitions instead of one.
 
     Hot keys hold more than ``HOT_SHARE`` of the rows of ``left``, so there are fewer than
-    1/``HOT_SHARE`` of them; only their entries in ``table`` are repeated.
+    1/``HOT_SHARE`` of them; only their entries in ``table`` are repeated. ``left`` is written once:
+    its rows are numbered in the files, so equal rows spread as well, rows of any type can be
+    spread, and a task that is run again gives a row the same salt.
     """
+    left = written(left, "spread")
     counts = left.groupBy(*on).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     keys = counts.filter(F.col("_n") > total * HOT_SHARE)
@@ -59,8 +64,7 @@ def spread_join(left: DataFrame, table: DataFrame, on: Sequence[str], how: str,
     marks = _equal([(name, f"_hot_{name}") for name in on], True)
     dropped = [f"_hot_{name}" for name in on]
 
-    # the salt depends on the values of the row, so a task that is run again gives the same one
-    place = F.pmod(F.xxhash64(*[left[c] for c in left.columns]), F.lit(SALTS)).cast("int").alias("_place")
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_place")
     big = left.select("*", place).join(hot, marks, "left").drop(*dropped)
     big = big.withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.col("_place")).otherwise(F.lit(0)))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isfinite
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -64,7 +65,7 @@ def _by_cells(df: DataFrame, columns: list, probs: list, keys: list, bins: int)
     grid = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     sketch = df.agg(*[F.percentile_approx(c, grid, bins * 5).alias(c) for c in columns]).first()
     inf = float("inf")
-    splits = [[-inf, *sorted(set(sketch[c] or [0.0])), inf] for c in columns]
+    splits = [[-inf, *(sorted({x for x in sketch[c] or () if isfinite(x)}) or [0.0]), inf] for c in columns]
     bucketed = Bucketizer(
         splitsArray=splits,
         inputCols=columns,
@@ -130,7 +131,9 @@ def _by_cells(df: DataFrame, columns: list, probs: list, keys: list, bins: int)
         F.max(F.when(F.col("_r.side") == 1, F.col("_v"))).alias("_hi"),
         F.max("_r.part").alias("_part"),
     )
-    points = ends.withColumn("_value", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part"))
+    # as the built-in aggregate does, also with infinite ends
+    between = (1 - F.col("_part")) * F.col("_lo") + F.col("_part") * F.col("_hi")
+    points = ends.withColumn("_value", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between))
     return points.groupBy(*keys).agg(
         *[
             F.array(
