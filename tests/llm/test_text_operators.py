@@ -134,6 +134,8 @@ def test_quality(spark, small, odd, nothing):
     documents = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "quality")
     model = quality.fit_quality(documents.join(labels.filter("doc_id % 3 <> 1"), "doc_id"))
+    apart = quality.fit_quality(documents, labels=labels.filter("doc_id % 3 <> 1"))
+    assert np.array_equal(model.weights, apart.weights) and np.array_equal(model.scale, apart.scale) and model.prior == apart.prior
     rows = quality.quality_scores(documents, model).join(labels, "doc_id").collect()
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert sum((r["score"] >= 0.5) == (r["quality"] == 1) for r in rows) >= 0.9 * len(rows)

@@ -71,7 +71,7 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document; labels of the held-out third are never read by the fit."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", "quality").filter(crc_part("doc_id", 3) != 1)
-    model = fit_quality(documents.join(labels, "doc_id"))
+    model = fit_quality(documents, labels=labels)
     scored = quality_scores(documents, model)
     held_out = (crc_part("doc_id", 3) == 1).alias("held_out")
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")

@@ -72,12 +72,17 @@ def hash_share(*columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(7919)), 11).cast("double") / float(2**53)
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, rows: int) -> DataFrame:
+def bounded_sample(df: DataFrame, label: str, key: str, rows: int, known: dict | None = None) -> DataFrame:
     """About ``rows`` rows of each label (all, if fewer), chosen by a hash of the key.
 
-    Labels are few; their counts are the only thing looked at on the driver.
+    Labels are few; their counts are the only thing looked at on the driver. ``known`` gives the
+    counts where they are already at hand.
     """
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
+    if known is None:
+        counts = df.groupBy(label).agg(F.count("*").alias("_n"))
+    else:
+        kind = df.schema[label].dataType.simpleString()
+        counts = df.sparkSession.createDataFrame(list(known.items()), f"`{label}` {kind}, _n long")
     return (
         df.join(F.broadcast(counts), label)
         .filter(hash_share(key) * F.col("_n") < float(rows))

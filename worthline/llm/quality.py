@@ -22,6 +22,7 @@ from worthline.llm.common import (
     starts_of,
     texts,
 )
+from worthline.operators.lookup import lookup_join
 from worthline.operators.partials import Shared
 
 #: Labelled documents of each label that are fitted; rounds in which the line labels are revised.
@@ -178,23 +179,43 @@ def _by_document(good: np.ndarray, doc: np.ndarray, size: np.ndarray, n: int) ->
     return np.log(mean / (1 - mean)), clear
 
 
-def fit_quality(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", rows: int = FIT_ROWS) -> QualityModel:
+def _marked(labels: DataFrame, key: str, label: str) -> DataFrame:
+    return labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label"))
+
+
+def fit_quality(
+    labelled: DataFrame,
+    text: str = "text",
+    label: str = "quality",
+    key: str = "doc_id",
+    rows: int = FIT_ROWS,
+    labels: DataFrame | None = None,
+) -> QualityModel:
     """Fit on about ``rows`` documents of each label (1 good, 0 bad), chosen by a hash of the key.
 
     Lines first take the label of their document. The field is then fitted, the lines of bad documents
     are labelled anew by their marginals (good documents stay good throughout, a bad one keeps its
     worst line), and so on for ``REVISIONS`` rounds. Only the features of the sampled lines reach the
     driver. Without rows of both labels the model gives every text the share of good rows (0.5 if none).
+
+    ``labels`` may hold the labels in a table of its own, by the same key: rows are then counted by a
+    join of the keys alone, and only the sampled keys meet the texts, which are not shuffled.
     """
-    source = labelled.filter(F.col(label).isin(0, 1)).select(
-        F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label")
-    )
+    own = _marked(labelled if labels is None else labels, key, label)
+    source = own if labels is None else own.join(labelled.select(F.col(key).alias("doc_id")), "doc_id")
     counts = {r["label"]: r["n"] for r in source.groupBy("label").agg(F.count("*").alias("n")).collect()}
     prior = counts.get(1, 0) / max(sum(counts.values()), 1) if counts else 0.5
     neutral = QualityModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(2 * FEATURES + 1), np.zeros((2, 2)), np.array([0.0, 0.0, np.log(max(prior, 1e-4) / max(1 - prior, 1e-4))]), prior)
     if len(counts) < 2:
         return neutral
-    sample = bounded_sample(source, "label", "doc_id", rows).filter(F.length(F.trim("text")) > 0)
+    if labels is None:
+        whole = labelled.filter(F.col(label).isin(0, 1)).select(
+            F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label")
+        )
+        sample = bounded_sample(whole, "label", "doc_id", rows, counts)
+    else:
+        sample = lookup_join(picked(labelled, key, text), bounded_sample(own, "label", "doc_id", rows, counts), ["doc_id"], "inner")
+    sample = sample.filter(F.length(F.trim("text")) > 0)
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
