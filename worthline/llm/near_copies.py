@@ -25,6 +25,8 @@ CHUNK_CELLS = 1 << 16
 RARE, BOOST = 500, 0.2
 #: Rounds in which the members of a bucket meet one leader; what is then still apart is joined by rare shingles.
 LEADER_ROUNDS = 5
+#: Texts that the verification cuts into shingles at once.
+VECTORS = 32
 
 _ONE = np.uint64(1)
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -212,17 +214,16 @@ def verified(pairs: DataFrame, bodies: DataFrame, shared: Shared) -> DataFrame:
     def make():
         rarity = shared.value
 
-        def vector(text: str):
-            values, counts, _ = shingles([text])
-            return values[0], weights_of(values[0], counts[0], rarity)
-
         def run(batch: pa.RecordBatch) -> dict:
-            scores, last, held = [], None, None
-            for a, b in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist()):
-                if b != last:
-                    last, held = b, vector(b)
-                scores.append(similarity(vector(a), held))
-            return {"a": batch["a"], "b": batch["b"], "similarity": scores}
+            a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
+            # each text of the batch is cut into shingles once, some texts at a time
+            held = dict(zip(a + b, batch["text_a"].to_pylist() + batch["text_b"].to_pylist()))
+            names, vectors = list(held), {}
+            for i in range(0, len(names), VECTORS):
+                some = names[i : i + VECTORS]
+                values, counts, _ = shingles([held[x] or "" for x in some])
+                vectors |= {x: (v, weights_of(v, c, rarity)) for x, v, c in zip(some, values, counts)}
+            return {"a": batch["a"], "b": batch["b"], "similarity": [similarity(vectors[x], vectors[y]) for x, y in zip(a, b)]}
 
         return run
 
@@ -281,26 +282,48 @@ def rare_pairs(nodes: DataFrame, bodies: DataFrame, shared: Shared) -> DataFrame
     return met.select(F.col("content").alias("a"), F.col("b_content").alias("b"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node of each connected component of the links (a, b).
+def components(links: DataFrame, hops: int | None = None) -> DataFrame:
+    """node, label: the least node of each connected component of the distinct links (a, b).
 
     Every node takes the least label among its own and its neighbours', then that label's label, until
-    nothing changes: a number of rounds that grows with the logarithm of a component's diameter.
+    nothing changes: a number of rounds that grows with the logarithm of a component's diameter. With
+    ``hops`` it stops after so many rounds: a label is then a node of the same component, and nodes
+    of one component may still have several.
     """
-    both = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy("node").agg(F.min(F.least("node", "other")).alias("label")), "labels")
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+    labels = both.groupBy("node").agg(F.min(F.least("node", "other")).alias("label"))
+    if hops is None:
+        both, labels = written(both, "links"), written(labels, "labels")
+    hop = 0
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         new = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         new = new.join(jump, "low").select("node", F.least("low", "far").alias("next"), "label")
-        new = written(new, "labels")
-        changed = new.filter(F.col("next") != F.col("label")).limit(1).count()
+        hop += 1
+        if hops is None:
+            new = written(new, "labels")
+            settled = new.filter(F.col("next") != F.col("label")).isEmpty()
+        else:
+            settled = hop == hops
         labels = new.select("node", F.col("next").alias("label"))
-        if not changed:
+        if settled:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame, hops: int | None = None) -> DataFrame:
+    """``labels`` (content, label) after the links (a, b): labels that a link joins become one.
+
+    Only labels that differ across a link take part, so the graph shrinks with every call.
+    """
+    of_a = labels.select(F.col("content").alias("a"), F.col("label").alias("label_a"))
+    of_b = labels.select(F.col("content").alias("b"), F.col("label").alias("label_b"))
+    apart = links.join(of_a, "a").join(of_b, "b").filter(F.col("label_a") != F.col("label_b"))
+    apart = apart.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct()
+    joined = components(written(apart, "apart"), hops).select(F.col("node").alias("label"), F.col("label").alias("low"))
+    return written(labels.join(joined, "label", "left").select("content", F.coalesce("low", "label").alias("label")), "classes")
+
+
 def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Return doc_id, class_id (least doc_id of the class), n_links and class_size: one row per row of ``df``.
 
@@ -334,6 +357,8 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     labels = buckets.select("content").distinct().select("content", F.col("content").alias("label"))
     tested, links, led = None, None, None
     for round_ in range(LEADER_ROUNDS + 1):
+        # labels left apart only cost the next leaders some pairs; those the exact join reads and leaves are settled
+        hops = None if round_ >= LEADER_ROUNDS - 1 else 1
         placed = buckets.select("band", "content", "size").join(labels, "content")
         if led is not None:
             placed = placed.join(led, "content", "left")
@@ -360,13 +385,12 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         if round_ and pairs.isEmpty():
             if mixed_rows.isEmpty():
                 break
+            labels = merged(labels, links, hops)
             continue
         found = verified(pairs, bodies, shared).select("a", "b")
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
-        joined = components(links)
-        labels = buckets.select("content").distinct().join(joined.select(F.col("node").alias("content"), "label"), "content", "left")
-        labels = written(labels.select("content", F.coalesce("label", "content").alias("label")), "classes")
+        labels = merged(labels, links, hops)
 
     degree = links.select(F.col("a").alias("content")).union(links.select("b")).groupBy("content").agg(F.count("*").alias("n_links"))
     by_content = rows.filter(F.col("content").isNotNull()).groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
