@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worthline.llm.common import crc_part
+from worthline.llm.conversations import damaged, repair
 from worthline.llm.fingerprints import edited_fingerprints
 from worthline.llm.languages import fit_languages, predict_languages
 from worthline.llm.licences import scan_licences
@@ -16,9 +17,11 @@ from worthline.llm.mixing import mix
 from worthline.llm.near_copies import near_classes
 from worthline.llm.neighbours import nearest
 from worthline.llm.personal import find_personal, fit_personal
+from worthline.llm.phrases import collocations
 from worthline.llm.quality import fit_quality, quality_scores
 from worthline.llm.token_codec import round_trip
 from worthline.llm.token_counts import token_counts
+from worthline.llm.toxicity import fit_toxicity, toxic_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,6 +119,67 @@ def op10_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return near_classes(table(spark, folder, "documents"))
 
 
+@query
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document and its toxic spans; labels of the held-out third are never read by the fit."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").filter(crc_part("doc_id", 3) != 1)
+    scored = toxic_scores(documents, fit_toxicity(documents, labels))
+    held_out = (crc_part("doc_id", 3) == 1).alias("held_out")
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans")
+    return scored.select("doc_id", held_out, "score", predicted, spans)
+
+
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The collocations of every language."""
+    return collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece
+  from documents),
+words as (
+  select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') w from pieces),
+totals as (select lang, sum(len(w))::bigint n from words group by lang),
+sizes as (select unnest([1, 2, 3]) k),
+grams as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) phrase
+  from words, sizes where len(w) >= k),
+counts as (select lang, k, phrase, count(*) f from grams group by lang, k, phrase having count(*) >= 10),
+candidates as (select lang, k, phrase, f a, string_split(phrase, ' ') w from counts where k >= 2),
+cuts as (
+  select c.*, x.k cut, array_to_string(w[1:x.k], ' ') head, array_to_string(w[x.k + 1:], ' ') tail
+  from candidates c join sizes x on x.k < c.k),
+scores as (
+  select c.lang, c.phrase, c.a, c.cut, h.f l, t.f r,
+         (1000000::hugeint * c.a * c.a) // (h.f::hugeint * t.f) score
+  from cuts c join counts h on h.lang = c.lang and h.phrase = c.head join counts t on t.lang = c.lang and t.phrase = c.tail),
+lowest as (
+  select * from scores qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+longer as (
+  select lang, phrase, max(a) a
+  from (select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) phrase, a from candidates where k = 3)
+  group by lang, phrase),
+kept as (
+  select s.* from lowest s left join longer g on g.lang = s.lang and g.phrase = s.phrase
+  where g.a is null or 100 * g.a < 50 * s.a),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as "rank" from kept)
+select lang, "rank", phrase, a, l, r, n, score::bigint score from ranked join totals using (lang) where "rank" <= 2000
+"""
+
+
+@query
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """The cheapest repair of every conversation, after the damage that the hash of each turn does."""
+    repaired = repair(damaged(table(spark, folder, "conversations")))
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return repaired.select(F.col("conv").alias("conv_id"), *numbers, "audit", "repaired_sha256", "signature")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of corpus_pipeline.py over the documents."""
     import corpus_pipeline

@@ -32,7 +32,11 @@ def sliced(batch: pa.RecordBatch, text: str | None = "text", limit: int = SLICE_
 
 
 def map_batches(
-    df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]], text: str | None = "text"
+    df: DataFrame,
+    schema: str | T.StructType,
+    make: Callable[[], Callable[[pa.RecordBatch], dict]],
+    text: str | None = "text",
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """``make()`` runs once per task and returns a function from a batch to the columns of ``schema``."""
     kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -41,7 +45,7 @@ def map_batches(
     def run(batches):
         function = make()
         for batch in batches:
-            for part in sliced(batch, text):
+            for part in sliced(batch, text, slice_bytes):
                 columns = function(part)
                 arrays = [
                     c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=field.type, from_pandas=True)
