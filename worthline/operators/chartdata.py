@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,12 @@ from worthline.functions.scalars import ratio
 from worthline.operators import quantiles
 from worthline.operators.lookup import lookup_join
 from worthline.operators.ordering import number_rows
+from worthline.operators.partials import sum_by_key
+from worthline.session import written
 
 GRID_POINTS = 100
+#: Rows that meet the places of a grid at once.
+KERNEL_ROWS = 10_000
 WHISKER = 1.5
 
 
@@ -64,7 +70,8 @@ def box_stats(df: DataFrame, column: str, keys: Sequence[str] = (), **options) -
     """Quartiles, mean, whiskers (farthest values within 1.5 interquartile ranges) and outliers."""
     keys = list(keys)
     values = df.filter(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"))
-    cuts = quantiles.percentiles(values, ["_v"], [0.25, 0.5, 0.75], keys, **options)
+    values = written(values, "box")
+    cuts = quantiles.percentiles(values, ["_v"], [0.25, 0.5, 0.75], keys, stable=True, **options)
     cuts = cuts.select(*keys, *[F.element_at("_v", i).alias(f"q{i}") for i in (1, 2, 3)])
     if keys:
         joined = lookup_join(values, cuts, keys, "inner", null_safe=True)
@@ -86,8 +93,8 @@ def box_stats(df: DataFrame, column: str, keys: Sequence[str] = (), **options) -
 def density_grid(df: DataFrame, column: str, keys: Sequence[str] = (), points: int = GRID_POINTS) -> DataFrame:
     """Gaussian kernel density at ``points`` places from the least to the greatest value.
 
-    Bandwidth n^(-1/5) times the sample deviation. Each row adds to every grid place; the sums
-    combine inside the task, so the shuffle carries one row per task, group and place.
+    Bandwidth n^(-1/5) times the sample deviation. Each task adds its rows to one vector of places per
+    group, so rows are never copied and the shuffle carries a vector per task and group.
     """
     keys = list(keys)
     values = df.filter(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"))
@@ -102,13 +109,25 @@ def density_grid(df: DataFrame, column: str, keys: Sequence[str] = (), points: i
         known = row.asDict() if row else {}
         joined = values.withColumns({c: F.lit(known.get(c)).cast("double") for c in ("_n", "_lo", "_hi", "_h")})
         joined = joined.filter("_h > 0")
-    spread = joined.select(*keys, "_v", "_n", "_lo", "_hi", "_h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    shape = ["_n", "_lo", "_hi", "_h"]
+    places = np.arange(points) / (points - 1)
+
+    def sums(batch):
+        for key, part in batch.groupby([*keys, *shape], sort=False, dropna=False):
+            low, high, width = key[-3:]
+            grid, total = low + places * (high - low), np.zeros(points)
+            values = part["_v"].to_numpy()
+            for i in range(0, len(values), KERNEL_ROWS):
+                u = (grid - values[i : i + KERNEL_ROWS, None]) / width
+                total += np.exp(-0.5 * u * u).sum(axis=0)
+            yield tuple(None if k != k else k for k in key), total
+
+    rows = joined.select(*keys, F.col("_n").cast("long").alias("_n"), *[F.col(c) for c in shape[1:]], "_v")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, *shape])
+    vectors = sum_by_key(rows, kinds, sums).select(*keys, *shape, F.posexplode("sums").alias("point", "_sum"))
     x = F.col("_lo") + F.col("point") * (F.col("_hi") - F.col("_lo")) / (points - 1)
-    u = (x - F.col("_v")) / F.col("_h")
     norm = F.lit((2 * 3.141592653589793) ** 0.5)
-    return spread.groupBy(*keys, "point").agg(
-        F.first(x).alias("x"), (F.sum(F.exp(-u * u / 2)) / (F.first("_n") * F.first("_h") * norm)).alias("density")
-    )
+    return vectors.select(*keys, "point", x.alias("x"), (F.col("_sum") / (F.col("_n") * F.col("_h") * norm)).alias("density"))
 
 
 def normal_quantiles(points: int = 99) -> list[float]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from worthline.functions.scalars import correlation as pearson
 from worthline.operators.gram import correlation, moments_by
 from worthline.operators.impute import impute_median
+from worthline.session import written
 
 
 def t_tail(spark, r: float, n: int) -> float:
@@ -30,7 +31,8 @@ def pearson_vs_target(df: DataFrame, columns: Sequence[str], target: str, **opti
 
     Nulls become the column median; columns without any value and constant columns are left out.
     """
-    filled = impute_median(df.select(*columns, target), [*columns, target], **options)
+    narrow = written(df.select(*columns, target), "correlated")
+    filled = impute_median(narrow, [*columns, target], stable=True, **options)
     row = filled.agg(F.count("*").alias("n"), *[pearson(c, target).alias(c) for c in columns]).first()
     spark = df.sparkSession
     found = [(c, row[c]) for c in columns if row[c] is not None and row[c] == row[c]]
@@ -42,7 +44,7 @@ def pearson_vs_target(df: DataFrame, columns: Sequence[str], target: str, **opti
 def corr_matrix_top(df: DataFrame, columns: Sequence[str], target: str, top: int = 15, **options) -> DataFrame:
     """Lower triangle (row, column, r) over the ``top`` strongest columns and the target."""
     names = [*columns, target]
-    filled = impute_median(df.select(*names), names, **options)
+    filled = impute_median(written(df.select(*names), "correlated"), names, stable=True, **options)
     present = filled.agg(*[F.count(c).alias(c) for c in columns]).first()
     names = [c for c in columns if present[c]] + [target]
     (moments,) = moments_by(filled, names).values()

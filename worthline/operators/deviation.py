@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from worthline.functions.scalars import correlation, inf_to_null, ratio, rounded, to_number
 from worthline.operators import quantiles
+from worthline.session import written
 
 TOLERANCE = 25.0
 ERROR_EDGES = [5.0, 10.0, 25.0]
@@ -77,7 +78,7 @@ def group_deviation_stats(
     else:
         df = df.filter(F.col(key).isNotNull())
     stats = quantiles.aggregate(
-        df,
+        df.select(key, "rel_diff", "abs_diff", real, predicted),
         [key],
         [
             F.avg("rel_diff").alias("rel_mean"),
@@ -166,9 +167,10 @@ def error_percentiles(
 
 def quartile_band_error(df: DataFrame, real: str, error: str, **options) -> DataFrame:
     """Mean error in each quartile band of the real value; a row on an edge counts in both bands."""
-    cuts = quantiles.percentile_row(df, [real], [0.0, 0.25, 0.5, 0.75, 1.0], **options)[real]
+    narrow = written(df.select(real, error), "bands")
+    cuts = quantiles.percentile_row(narrow, [real], [0.0, 0.25, 0.5, 0.75, 1.0], stable=True, **options)[real]
     bands = list(zip(cuts[:-1], cuts[1:]))
-    means = df.agg(
+    means = narrow.agg(
         *[
             F.coalesce(F.avg(F.when(F.col(real).between(lo, hi), F.col(error))), F.lit(0.0)).alias(f"b{i}")
             for i, (lo, hi) in enumerate(bands)

@@ -38,7 +38,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], **options) -> DataFr
     }
     aggs = [f(c).alias(f"{c}__{m}") for c in columns for m, f in measures.items()]
     exact = {f"{c}__p{p}": (c, p / 100) for c in columns for p in (25, 50, 75)}
-    row = quantiles.aggregate(df, [], aggs, exact, **options)
+    row = quantiles.aggregate(df.select(*columns), [], aggs, exact, **options)
     return row.select(F.explode(one_row_per(columns, [*measures, "p25", "p50", "p75"])).alias("r")).select("r.*")
 
 
@@ -91,7 +91,7 @@ def target_profile(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
     aggs = [F.count("*").alias("n")]
     for c in columns:
         aggs += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg(c).alias(f"{c}_mean")]
-    return quantiles.aggregate(df, list(keys), aggs, {f"{c}_median": (c, 0.5) for c in columns}, **options)
+    return quantiles.aggregate(df.select(*keys, *columns), list(keys), aggs, {f"{c}_median": (c, 0.5) for c in columns}, **options)
 
 
 def group_profile(df: DataFrame, group: str, columns: Sequence[str], **options) -> DataFrame:
@@ -104,7 +104,7 @@ def group_profile(df: DataFrame, group: str, columns: Sequence[str], **options)
             F.min(c).alias(f"{c}_min"),
             F.max(c).alias(f"{c}_max"),
         ]
-    return quantiles.aggregate(df, [group], aggs, {f"{c}_median": (c, 0.5) for c in columns}, **options)
+    return quantiles.aggregate(df.select(group, *columns), [group], aggs, {f"{c}_median": (c, 0.5) for c in columns}, **options)
 
 
 def group_range(df: DataFrame, group: str, column: str) -> DataFrame:
