@@ -19,7 +19,7 @@ from worthline.session import written
 #: Least count of a phrase, percent of it that a longer phrase must reach to replace it, rows of each language.
 LEAST, COVERED, TOP = 10, 50, 2000
 #: Bytes of text that are hashed at once, and fingerprints that a task adds up before it sends them.
-WINDOW_BYTES, HELD = 1 << 20, 1_500_000
+WINDOW_BYTES, HELD, SENT = 1 << 19, 1_200_000, 1 << 16
 #: Bits of a membership map: 16 for each entry, but never more than this (32 MB); a fuller map lets more pass.
 MOST_BITS = 1 << 28
 BLOCKS = 64
@@ -35,7 +35,7 @@ _KINDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_COUNTED = "fp long, n int, cnt long, chk long, place long"
+_COUNTED = "fp long, cnt long, chk long, place long"
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,14 +79,18 @@ class Hasher:
         return starts, ends, pieces, mixed(hashes + (ends - starts).astype(np.uint64))
 
     def grams(self, words: np.ndarray, pieces: np.ndarray, seeds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First words, fingerprints and check numbers (16 bits, by another polynomial) of all n-grams within pieces."""
+        """First words, fingerprints and check numbers (16 bits, by another polynomial) of all n-grams within pieces.
+
+        The two lowest bits of a fingerprint are n.
+        """
         m = max(len(words) - n + 1, 0)
         at = np.flatnonzero(pieces[:m] == pieces[n - 1 : n - 1 + m]) if n > 1 else np.arange(m)
         roll, check = np.full(len(at), n, dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
         for i in range(n):
             roll = roll * _ROLL + words[at + i]
             check = check * _CHECK_ROLL + (words[at + i] >> np.uint64(17))
-        return at, mixed(roll ^ seeds[at]) & self.mask, mixed(check ^ seeds[at]) >> np.uint64(48)
+        fp = mixed(roll ^ seeds[at]) & self.mask & ~np.uint64(3) | np.uint64(n)
+        return at, fp, mixed(check ^ seeds[at]) >> np.uint64(48)
 
 
 def text_bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -140,35 +144,36 @@ def cut_up(batch: pa.RecordBatch, hasher: Hasher):
 
 
 def _merged(parts: list[tuple]) -> tuple:
-    """Equal fingerprints of the parts (fp, n, cnt, chk, place) added up; the least place is kept."""
-    fp, n, cnt, chk, place = (np.concatenate(c) for c in zip(*parts))
-    order = np.argsort(fp, kind="stable")
-    fp, n = fp[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (n[1:] != n[:-1])))) if len(fp) else np.zeros(0, dtype=np.int64)
-    if not len(first):
-        return fp, n, cnt, chk, place
+    """Equal fingerprints of the parts (fp, cnt, chk, place) added up; the least place is kept."""
+    fp, cnt, chk, place = (np.concatenate(c) for c in zip(*parts)) if len(parts) > 1 else parts[0]
+    if not len(fp):
+        return fp, cnt, chk, place
+    order = np.argsort(fp)
+    fp = fp[order]
+    first = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
     return (
         fp[first],
-        n[first],
         np.add.reduceat(cnt[order], first),
         np.add.reduceat(chk[order], first),
         np.minimum.reduceat(place[order], first),
     )
 
 
-def _sent(parts: tuple) -> pa.RecordBatch:
-    fp, n, cnt, chk, place = parts
-    return pa.RecordBatch.from_arrays(
-        [pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(cnt), pa.array(chk), pa.array(place)],
-        names=["fp", "n", "cnt", "chk", "place"],
-    )
+def _sent(columns: tuple):
+    """Batches of the columns fp, cnt, chk and place."""
+    for i in range(0, len(columns[0]), SENT):
+        arrays = [pa.array(c[i : i + SENT].view(np.int64)) for c in columns]
+        yield pa.RecordBatch.from_arrays(arrays, names=["fp", "cnt", "chk", "place"])
 
 
 def counted(docs: DataFrame, sizes: tuple[int, ...], least: int, bigrams: Shared | None, mask: np.uint64) -> DataFrame:
     """(fp, n, cnt, chk, place) of the n-grams of the sizes that occur at least ``least`` times.
 
+    Rows go straight to the task of their fingerprint: what a task sends is added up already, so a
+    second hash table before the shuffle would find little to combine.
+
     ``cnt`` counts all occurrences, ``chk`` adds up their check numbers and ``place`` points to a text
-    that holds one. Each task adds up its own before the shuffle. With ``bigrams`` an n-gram is counted
+    that holds one: it is half of the text's hash, so a few texts may share it. Each task adds up its own before the shuffle. With ``bigrams`` an n-gram is counted
     only if both its halves of two words may be frequent.
     """
 
@@ -185,22 +190,22 @@ def counted(docs: DataFrame, sizes: tuple[int, ...], least: int, bigrams: Shared
                         may[pairs] = bigrams.value.holds(pair_fp)
                         keep = may[at] & may[at + 1]
                         at, fp, check = at[keep], fp[keep], check[keep]
-                    some = (fp, np.full(len(at), n, dtype=np.int8), np.ones(len(at), dtype=np.int64), check.view(np.int64), places[text_of[at]])
-                    some = _merged([some])
+                    some = _merged([(fp, np.ones(len(at), dtype=np.int64), check.view(np.int64), places[text_of[at]])])
                     parts.append(some)
                     held += len(some[0])
                 if held > HELD:
                     parts = [_merged(parts)]
                     if len(parts[0][0]) > HELD // 2:
-                        yield _sent(parts[0])
+                        yield from _sent(parts[0])
                         parts = []
                     held = sum(len(p[0]) for p in parts)
         if parts:
-            yield _sent(_merged(parts))
+            yield from _sent(_merged(parts))
 
-    sums = docs.select("lang", "text", "place").mapInArrow(count, _COUNTED).groupBy("fp", "n")
+    sums = docs.select("lang", "text", "place").mapInArrow(count, _COUNTED).repartition("fp").groupBy("fp")
     sums = sums.agg(F.sum("cnt").alias("cnt"), F.sum("chk").alias("chk"), F.min("place").alias("place"))
-    return sums.filter(F.col("cnt") >= least)
+    n = F.col("fp").bitwiseAND(F.lit(3)).cast("int").alias("n")
+    return sums.filter(F.col("cnt") >= least).select("fp", n, "cnt", "chk", "place")
 
 
 class Members:
@@ -210,12 +215,12 @@ class Members:
         self.last, self.packed = np.uint64(bits - 1), packed
 
     def holds(self, values: np.ndarray) -> np.ndarray:
-        at = values & self.last
+        at = (values >> np.uint64(2)) & self.last
         return ((self.packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def members(df: DataFrame, column: str) -> Members:
-    """Bit map of a column of 64-bit numbers; built in ``BLOCKS`` tasks, of at most ``MOST_BITS`` bits."""
+    """Bit map of a column of 64-bit numbers (but for their two lowest bits); built in ``BLOCKS`` tasks, of at most ``MOST_BITS`` bits."""
     n = df.count()
     bits = 1 << 16
     while bits < min(16 * n, MOST_BITS):
@@ -233,7 +238,7 @@ def members(df: DataFrame, column: str) -> Members:
         packed = [zlib.compress(np.packbits(v, bitorder="little").tobytes(), 1) for v in held.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packed, pa.binary())], names=["block", "bits"])
 
-    places = df.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("at"))
+    places = df.select(F.shiftright(column, 2).bitwiseAND(F.lit(bits - 1)).alias("at"))
     rows = places.repartition(BLOCKS, F.floor(F.col("at") / width)).mapInArrow(build, "block int, bits binary").collect()
     packed = np.zeros(bits // 8, dtype=np.uint8)
     for row in rows:
@@ -250,7 +255,7 @@ def materialised(docs: DataFrame, found: DataFrame, mask: np.uint64) -> DataFram
 
     ``whole`` tells that the check numbers of all occurrences add up to those of this phrase, so that
     no other phrase was counted under its fingerprint. Only texts that are pointed to are shuffled,
-    one copy from each task.
+    one copy from each task. A fingerprint may be read from several texts of its place.
     """
     spark = docs.sparkSession
     wanted = found.groupBy("place").agg(F.collect_list(F.struct("fp", "n", "cnt", "chk")).alias("wanted"))
@@ -259,17 +264,15 @@ def materialised(docs: DataFrame, found: DataFrame, mask: np.uint64) -> DataFram
     def pointed(batches):
         seen: set[int] = set()
         for batch in batches:
-            places = batch["place"].to_numpy()
-            keep = shared.value.holds(places.view(np.uint64))
-            for i in np.flatnonzero(keep):
-                if int(places[i]) in seen:
-                    keep[i] = False
-                seen.add(int(places[i]))
+            keep = shared.value.holds(batch["place"].to_numpy().view(np.uint64))
+            for i, body in zip(np.flatnonzero(keep), batch["body"].to_numpy()[keep].tolist()):
+                keep[i] = body not in seen
+                seen.add(body)
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    narrow = docs.select("lang", "text", "place")
-    texts = narrow.mapInArrow(pointed, narrow.schema).dropDuplicates(["place"])
+    narrow = docs.select("lang", "text", "place", "body")
+    texts = narrow.mapInArrow(pointed, narrow.schema).dropDuplicates(["body"])
     joined = texts.join(wanted, "place").select("lang", "text", "wanted")
 
     def read(batches):
@@ -340,16 +343,18 @@ def frequent_phrases(df: DataFrame, lang: str = "lang", text: str = "text", leas
     """
     name = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    docs = df.select(name.alias("lang"), body.alias("text")).withColumn("place", F.xxhash64("lang", "text"))
+    docs = df.select(name.alias("lang"), body.alias("text")).withColumn("body", F.xxhash64("lang", "text"))
+    docs = docs.withColumn("place", F.shiftrightunsigned("body", 32))
     short = written(counted(docs, (1, 2), least, None, mask), "phrases-short")
     pairs = Shared(df.sparkSession, members(short.filter("n = 2"), "fp"))
     found = written(short.unionByName(counted(docs, (3,), least, pairs, mask)), "phrases")
-    read = written(materialised(docs, found, mask), "phrases-read")
-    whole = read.filter("whole").select("lang", "n", "phrase", "cnt")
-    if read.filter("whole").count() == found.count():
-        return whole
-    mixed_up = written(found.join(read.filter("whole").select("fp", "n"), ["fp", "n"], "left_anti"), "phrases-mixed")
-    return whole.unionByName(recounted(docs, mixed_up, least, mask))
+    read = materialised(docs, found, mask).filter("whole").dropDuplicates(["fp"]).drop("whole")
+    read = written(read, "phrases-read")
+    phrases = read.select("lang", "n", "phrase", "cnt")
+    if read.count() == found.count():
+        return phrases
+    mixed_up = written(found.join(read, "fp", "left_anti"), "phrases-mixed")
+    return phrases.unionByName(recounted(docs, mixed_up, least, mask))
 
 
 def word_totals(df: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
