@@ -75,6 +75,23 @@ def test_silhouette_equals_the_evaluator(blobs):
     assert ours == pytest.approx(ClusteringEvaluator().evaluate(vectors), abs=1e-9)
 
 
+def test_kmeans_seeds_come_from_all_rows(spark):
+    """A cluster of 12 rows in 6,000, which a small sample would miss, gets its centre, and the fit says that it settled."""
+    far = F.when(F.col("id") % 500 == 7, F.lit(100.0)).otherwise(F.lit(0.0))
+    df = spark.range(6000).select("id", (far + (F.col("id") % 13) / 13.0).alias("x"), (far + (F.col("id") % 7) / 7.0).alias("y"))
+    for parts in (1, 7):
+        fit = kmeans.fit_many(df.repartition(parts), ["x", "y"], "id", [2], restarts=2)["all", 2]
+        assert fit.converged and 0 < fit.steps < kmeans.MAX_STEPS
+        assert fit.centroids[1] == pytest.approx([100.4, 100.4], abs=0.3)
+
+
+def test_kmeans_of_fewer_distinct_points_than_clusters(spark):
+    df = spark.range(40).select("id", (F.col("id") % 2).cast("double").alias("x"))
+    fits = kmeans.fit_many(df, ["x"], "id", [1, 2, 3])
+    assert ("all", 3) not in fits
+    assert fits["all", 2].inertia == 0 and fits["all", 2].centroids.ravel().tolist() == [0.0, 1.0]
+
+
 def test_kmeans_is_as_good_as_the_library(blobs):
     ours = kmeans.fit_many(blobs, ["x", "y"], "id", [1, 3, 5])
     vectors = assemble(blobs.na.drop(), ["x", "y"])
@@ -178,6 +195,42 @@ def test_support_vector_objective_equals_direct_minimum(spark):
     assert objective(w, b) <= grid * 1.0005
 
 
+@pytest.mark.parametrize("kernel", ["linear", "rbf", "poly"])
+def test_models_carry_a_certificate(spark, linear, kernel):
+    """The bound is below every objective, and the gap is small for each segment."""
+    params = svr.Params(kernel=kernel, C=5.0, epsilon=0.1, gamma=0.1)
+    models, prepared, _ = svr.fit_svr(linear, ["a", "b", "c"], "y", "id", "s", params=params)
+    assert set(models) == {"A", "B"}
+    train = linear.filter("split = 'train'")
+    for seg, m in models.items():
+        assert 0 <= m.gap <= svr.GAP and 0 < m.steps < 100
+        rows = scale.scale(train.filter(F.col("s") == seg), prepared.inputs)
+        data = pairs(rows, "a", "b", "c", "y")
+        z, y = m.map(data[:, :3]), (data[:, 3] - m.y_mean) / m.y_std
+        zero = params.C * np.maximum(np.abs(y) - params.epsilon, 0).sum()
+        bound = m.objective - m.gap * zero
+        rng = np.random.default_rng(1)
+        for size in (0.0, 0.01, 0.1):
+            w = m.weights + size * rng.normal(size=len(m.weights))
+            value = 0.5 * w[:-1] @ w[:-1] + params.C * np.maximum(np.abs(y - z @ w) - params.epsilon, 0).sum()
+            assert value >= bound - 1e-9 * zero
+            if size == 0:
+                assert value == pytest.approx(m.objective, rel=1e-9)
+
+
+def test_search_goes_on_with_the_better_half(spark, linear):
+    trials = [svr.Params(10.0 ** (i - 3), "rbf", 0.1, 0.05) for i in range(6)]
+    prepared = svr.Prepared(linear, ["a", "b", "c"], "y", "id", "s", "split")
+    scores = svr.search(prepared, trials)
+    prepared.rows.unpersist()
+    for seg in "AB":
+        own = {t: (score, steps) for s, t, score, steps in scores if s == seg}
+        assert len(own) == 6
+        furthest = sorted(own, key=lambda t: -own[t][1])[:2]
+        assert svr.best_trial(scores, seg) in furthest
+        assert own[svr.best_trial(scores, seg)][0] == max(own[t][0] for t in furthest)
+
+
 def test_kernel_search_and_importance(spark):
     rng = np.random.default_rng(3)
     x = rng.uniform(-3, 3, size=(600, 2))
@@ -189,8 +242,13 @@ def test_kernel_search_and_importance(spark):
     assert scores[1][2] > 0.8 > scores[0][2]
     scored = svr.score_svr(df, models, prepared, None)
     assert metrics.regression_metrics(scored.filter("split = 'test'"), []).first()["r2"] > 0.9
-    table = {r["variable"]: r["coefficient"] for r in svr.svr_importance(df, models, prepared, "value", None).collect()}
+    assert models["all"].gap <= svr.GAP
+    table = {r["variable"]: r["coefficient"] for r in svr.svr_importance(df, models, prepared, "value", None, "id").collect()}
     assert table["x"] > 10 * abs(table["z"])
+    # the shuffle follows the keys, not the partitions
+    for parts in (1, 7):
+        again = {r["variable"]: r["coefficient"] for r in svr.svr_importance(df.repartition(parts), models, prepared, "value", None, "id").collect()}
+        assert again == pytest.approx(table, rel=1e-9)
 
 
 def test_scores_are_null_without_model_or_input(linear):

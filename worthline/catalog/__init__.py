@@ -13,7 +13,7 @@ MODULES = [
     "cluster_queries",
     "chart_queries",
     "model_queries",
-    "network_queries",
+    "kernel_queries",
 ]
 
 

@@ -52,6 +52,20 @@ def _(spark, folder):
     return df.select("label", "n", r("x", 6).alias("x"), r("y", 6).alias("y"))
 
 
+# Three updates unrolled: each assigns every row to the centres of the one before.
+STEPS = f"""{Z}, {centres_sql(4)}, k0 as (select label, c as cx, c as cy from c4), """ + ", ".join(
+    f"""s{i} as (select z.x, z.y, arg_min(label, (x - cx)^2 + (y - cy)^2)::int as label, min((x - cx)^2 + (y - cy)^2) d from z, k{i - 1} group by entity_id, x, y),
+ k{i} as (select label, count(*) n, avg(x) cx, avg(y) cy, sum(d) inertia from s{i} group by label)"""
+    for i in (1, 2, 3)
+)
+
+
+@query("kmeans_lloyd_steps", f"with {STEPS} select label, n, round(cx, 6) + 0.0 x, round(cy, 6) + 0.0 y, round(inertia, 3) + 0.0 inertia from k3")
+def _(spark, folder):
+    df = kmeans.steps_from(points(spark, folder), COLUMNS, diagonal(4), 3)
+    return df.select("label", "n", r("x", 6).alias("x"), r("y", 6).alias("y"), r("inertia", 3).alias("inertia"))
+
+
 @query(
     "inertia",
     f"with {ASSIGNED} select label, count(*) n, round(sum(sq_dist), 4) + 0.0 inertia, round(avg(sq_dist), 6) + 0.0 inertia_per_point from a group by label",

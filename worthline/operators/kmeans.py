@@ -11,28 +11,31 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from worthline.functions.scalars import ratio
 from worthline.operators.lookup import lookup_join
-from worthline.operators.partials import Shared, collect_sums, hashed_samples, keyed, matrix, spread, sum_by_key
+from worthline.operators.partials import Shared, collect_sums, keyed, matrix, spread, sum_by_key
 
-SEED_ROWS = 2_000
 RESTARTS = 10
-MAX_STEPS = 40
+#: Steps at most, and the squared shift of the centres, as a share of the mean variance, at which a model has settled.
+MAX_STEPS = 300
 TOLERANCE = 1e-4
-LEAST_GAIN = 3e-4
+#: Rounds of seeding, and candidates of a round for each cluster of the largest K.
+SEED_ROUNDS, OVERSAMPLING = 4, 2
 
 
 @dataclass
 class Clustering:
-    """Centroids of the best restart and the sum of squared distances to them."""
+    """Centroids of the best restart, the sum of squared distances to them, and how the steps ended."""
 
     centroids: np.ndarray
     inertia: float
     steps: int
+    converged: bool
 
 
 def squared_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -43,26 +46,60 @@ def squared_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return out
 
 
-def starting_points(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Careful seeding on a bounded sample (Arthur and Vassilvitskii 2007)."""
-    chosen = [sample[rng.integers(len(sample))]]
-    for _ in range(k - 1):
-        nearest = squared_distances(sample, np.array(chosen)).min(axis=1)
-        total = nearest.sum()
-        pick = rng.choice(len(sample), p=nearest / total) if total > 0 else rng.integers(len(sample))
-        chosen.append(sample[pick])
-    return np.array(chosen)
-
+def candidates(points: DataFrame, columns: list[str], key: str, most: int, seed: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """{segment: (candidate centres, rows nearest to each)}: oversampled seeding (Bahmani et al. 2012) over all rows.
 
-def refined(sample: np.ndarray, centroids: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Starting points improved on the sample first (Bradley and Fayyad 1998), to save full passes."""
-    for _ in range(steps):
+    The first round takes rows of each segment evenly, each later round takes rows with a chance in
+    proportion to the squared distance from the candidates so far, so that ``OVERSAMPLING`` times
+    ``most`` are added. A row draws its lot from a hash of its key: the least lots of each task, then of
+    the segment, win, and only they are sent. At last every row counts for its nearest candidate.
+    """
+    wanted = OVERSAMPLING * most
+    found: dict[str, np.ndarray] = {}
+    schema = f"_seg string, _lot double, {', '.join(f'{c} double' for c in columns)}"
+    for number in range(SEED_ROUNDS):
+        shared = Shared(points.sparkSession, found)
+        lot = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed * 100 + number)), 11).cast("double") + 0.5) / float(2**53)
+
+        def draw(batches, first=number == 0, shared=shared):
+            held = None
+            for batch in batches:
+                if not first:
+                    far = np.zeros(len(batch))
+                    for seg, at in batch.groupby("_seg", sort=False).indices.items():
+                        if seg in shared.value:
+                            far[at] = squared_distances(matrix(batch.iloc[at], columns), shared.value[seg]).min(axis=1)
+                    batch = batch[far > 0].assign(_lot=-np.log(batch["_lot"].to_numpy()[far > 0]) / far[far > 0])
+                held = batch if held is None else pd.concat([held, batch])
+                held = held.sort_values("_lot").groupby("_seg", sort=False).head(wanted)
+            if held is not None and len(held):
+                yield held
+
+        drawn = points.select("_seg", lot.alias("_lot"), *columns).mapInPandas(draw, schema)
+        order = Window.partitionBy("_seg").orderBy("_lot", *columns)
+        rows = drawn.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= wanted).toPandas()
+        shared.unpersist()
+        for seg, part in rows.sort_values(["_seg", "_place"]).groupby("_seg"):
+            new = matrix(part, columns)
+            found[seg] = np.unique(np.concatenate([found[seg], new]) if seg in found else new, axis=0)
+    sums = lloyd_sums(points, columns, {(seg, len(c), 0): c for seg, c in found.items()})
+    return {seg: (c, sums[seg, len(c), 0][:, 0]) for seg, c in found.items()}
+
+
+def starting_points(sample: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Careful seeding (Arthur and Vassilvitskii 2007) on the weighted candidates, improved on them by a few steps."""
+    chosen = [sample[rng.choice(len(sample), p=weight / weight.sum())]]
+    for _ in range(k - 1):
+        far = squared_distances(sample, np.array(chosen)).min(axis=1) * weight
+        chosen.append(sample[rng.choice(len(sample), p=far / far.sum())])
+    centroids = np.array(chosen)
+    for _ in range(50):
         label = squared_distances(sample, centroids).argmin(axis=1)
-        counts = np.bincount(label, minlength=len(centroids))
-        sums = np.stack([np.bincount(label, weights=c, minlength=len(centroids)) for c in sample.T], axis=1)
+        counts = np.bincount(label, weights=weight, minlength=k)
+        sums = np.stack([np.bincount(label, weights=c * weight, minlength=k) for c in sample.T], axis=1)
         new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centroids)
         if np.allclose(new, centroids, rtol=0, atol=1e-6):
-            return new
+            break
         centroids = new
     return centroids
 
@@ -77,60 +114,84 @@ def fit_many(
     seed: int = 42,
     max_steps: int = MAX_STEPS,
 ) -> dict[tuple[str, int], Clustering]:
-    """{(segment, K): best clustering} for every segment and every K; rows with nulls left out."""
+    """{(segment, K): best clustering} for every segment and every K; rows with nulls left out.
+
+    A model takes steps until its centres have settled (``converged``), and leaves the shared passes then.
+    A K above the number of distinct points has no model.
+    """
     columns = list(columns)
-    points = keyed(df, segment).select("_seg", key, *columns).na.drop()
+    points = keyed(df, segment).select("_seg", key, *[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
     held = df.storageLevel.useMemory
     if not held:
         points = spread(points, key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        samples = hashed_samples(points, columns, key, SEED_ROWS)
+        spreads = points.groupBy("_seg").agg(*[F.var_pop(c).alias(c) for c in columns]).collect()
+        variance = {row["_seg"]: float(np.mean([row[c] for c in columns])) for row in spreads}
         models: dict[tuple[str, int, int], np.ndarray] = {}
-        for seg, sample in sorted(samples.items()):
-            distinct = len(np.unique(sample, axis=0))
+        for seg, (sample, weight) in sorted(candidates(points, columns, key, max(ks), seed).items()):
+            some = weight > 0
+            sample, weight = sample[some], weight[some]
             for k in ks:
                 seen = set()
                 for restart in range(1 if k == 1 else restarts):
-                    if k > distinct:
+                    if k > len(sample):
                         continue
-                    rng = np.random.default_rng([seed, k, restart])
-                    start = refined(sample, starting_points(sample, k, rng))
+                    start = starting_points(sample, weight, k, np.random.default_rng([seed, k, restart]))
                     shape = np.round(start[np.lexsort(start.T[::-1])], 4).tobytes()
                     if shape not in seen:
                         seen.add(shape)
                         models[seg, k, restart] = start
         inertia, steps = dict.fromkeys(models, np.inf), dict.fromkeys(models, 0)
         active = set(models)
-        variance = {seg: sample.var(axis=0).mean() or 1.0 for seg, sample in samples.items()}
         for _ in range(max_steps):
             if not active:
                 break
             sums = lloyd_sums(points, columns, {m: models[m] for m in active})
             for model in list(active):
-                table = sums[model]
-                old = models[model]
-                counts = table[:, 0]
-                new = np.where(counts[:, None] > 0, table[:, 2:] / np.maximum(counts, 1)[:, None], old)
-                gain = inertia[model] - table[:, 1].sum()
-                inertia[model] = table[:, 1].sum()
+                old, table = models[model], sums[model]
+                new = moved(table, old)
+                inertia[model] = float(table[:, 1].sum())
                 steps[model] += 1
-                models[model] = new
-                settled = ((new - old) ** 2).sum() <= TOLERANCE * variance[model[0]]
-                if settled or gain <= LEAST_GAIN * inertia[model]:
-                    active.discard(model)
-        final = lloyd_sums(points, columns, models)
+                if ((new - old) ** 2).sum() <= TOLERANCE * variance[model[0]]:
+                    active.discard(model)  # the centres that the inertia was counted for stay
+                else:
+                    models[model] = new
+        if active:
+            for model, table in lloyd_sums(points, columns, {m: models[m] for m in active}).items():
+                inertia[model] = float(table[:, 1].sum())
         best: dict[tuple[str, int], Clustering] = {}
-        for (seg, k, restart), centroids in models.items():
-            value = float(final[seg, k, restart][:, 1].sum())
-            if (seg, k) not in best or value < best[seg, k].inertia:
+        for model, centroids in models.items():
+            seg, k, _ = model
+            if (seg, k) not in best or inertia[model] < best[seg, k].inertia:
                 order = np.lexsort(centroids.T[::-1])
-                best[seg, k] = Clustering(centroids[order], value, steps[seg, k, restart])
+                best[seg, k] = Clustering(centroids[order], inertia[model], steps[model], model not in active)
         return best
     finally:
         if not held:
             points.unpersist()
 
 
+def moved(table: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The mean points of the sums of a pass; a cluster without rows keeps its centre."""
+    counts = table[:, 0]
+    return np.where(counts[:, None] > 0, table[:, 2:] / np.maximum(counts, 1)[:, None], centroids)
+
+
+def steps_from(df: DataFrame, columns: Sequence[str], centroids: Sequence[Sequence[float]], steps: int) -> DataFrame:
+    """(label, n, columns, inertia) after ``steps`` updates from given centroids: the mean points, and the rows and
+    squared distance counted in the last pass."""
+    columns = list(columns)
+    points = df.select(F.lit("all").alias("_seg"), *[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    now = np.asarray(centroids, dtype=float)
+    table = np.zeros((len(now), len(columns) + 2))
+    for _ in range(steps):
+        sums = lloyd_sums(points, columns, {("all", len(now), 0): now})
+        table = sums.get(("all", len(now), 0), np.zeros_like(table))
+        now = moved(table, now)
+    rows = [(i, int(table[i, 0]), *map(float, now[i]), float(table[i, 1])) for i in range(len(now))]
+    return df.sparkSession.createDataFrame(rows, f"label int, n long, {', '.join(f'`{c}` double' for c in columns)}, inertia double")
+
+
 def lloyd_sums(points: DataFrame, columns: list[str], models: dict) -> dict:
     """One pass: per model and cluster [rows, squared distance, sums of the columns]."""
     by_segment: dict[str, list] = {}
