@@ -142,6 +142,7 @@ def fit_many(
                         seen.add(shape)
                         models[seg, k, restart] = start
         inertia, steps = dict.fromkeys(models, np.inf), dict.fromkeys(models, 0)
+        paths = {model: Path() for model in models}
         active = set(models)
         for _ in range(max_steps):
             if not active:
@@ -155,7 +156,7 @@ def fit_many(
                 if ((new - old) ** 2).sum() <= TOLERANCE * variance[model[0]]:
                     active.discard(model)  # the centres that the inertia was counted for stay
                 else:
-                    models[model] = new
+                    models[model] = paths[model].next(old, new, inertia[model])
         if active:
             for model, table in lloyd_sums(points, columns, {m: models[m] for m in active}).items():
                 inertia[model] = float(table[:, 1].sum())
@@ -171,6 +172,34 @@ def fit_many(
             points.unpersist()
 
 
+class Path:
+    """The last steps of a model, from which the next centres are extrapolated (Anderson 1965).
+
+    A step that raised the inertia is taken back: the plain update of the centres before goes on instead.
+    """
+
+    MEMORY = 4
+
+    def __init__(self):
+        self.olds: list[np.ndarray] = []
+        self.news: list[np.ndarray] = []
+        self.least = np.inf
+
+    def next(self, old: np.ndarray, new: np.ndarray, inertia: float) -> np.ndarray:
+        """The centres to try after ``old``, whose update is ``new`` and whose inertia is known."""
+        if inertia > self.least and self.news:
+            plain = self.news[-1]
+            self.olds, self.news, self.least = [], [], np.inf
+            return plain.reshape(old.shape)
+        self.least = inertia
+        self.olds, self.news = [*self.olds, old.ravel()][-self.MEMORY :], [*self.news, new.ravel()][-self.MEMORY :]
+        if len(self.olds) < 2:
+            return new
+        gaps = np.stack(self.news) - np.stack(self.olds)
+        share = np.linalg.lstsq((gaps[1:] - gaps[:-1]).T, gaps[-1], rcond=1e-6)[0]
+        return (self.news[-1] - share @ np.diff(np.stack(self.news), axis=0)).reshape(old.shape)
+
+
 def moved(table: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The mean points of the sums of a pass; a cluster without rows keeps its centre."""
     counts = table[:, 0]

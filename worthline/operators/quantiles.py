@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worthline.operators.lookup import lookup_join
+from worthline.operators.lookup import checked_small, lookup_join
 from worthline.session import written
 
 #: Values of a group (over all columns) up to which the built-in aggregate is used.
-INLINE_ROWS = 200_000
+INLINE_ROWS = 500_000
 #: Cells that a range of values is cut into in one pass, and rows of a cell that are told apart by value.
-CELLS, FINISH_ROWS = 4096, 100_000
+CELLS, FINISH_ROWS = 4096, 500_000
 
 
 def percentiles(
@@ -118,7 +118,8 @@ def _by_cells(df: DataFrame, columns: list, probs: list, keys: list, cells: int,
     state = state.withColumn("_ranks", _wanted_ranks(probs))
     solved, short = [], []
     while True:
-        state = written(state, "cells")
+        small = checked_small(state)
+        state = written(state, "cells") if small is None else small
         solved.append(state.filter("_lo = _hi"))
         short.append(state.filter((F.col("_lo") < F.col("_hi")) & (F.col("_n") <= finish_rows)))
         state = state.filter((F.col("_lo") < F.col("_hi")) & (F.col("_n") > finish_rows))
