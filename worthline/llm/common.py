@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text bytes that a task holds as Python objects at once; a longer single text is taken alone.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 def sliced(batch: pa.RecordBatch, text: str | None = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -119,16 +119,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 #: Base of the rolling hash of words and its inverse modulo 2**64.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n + n // 4, base, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps)
-    return _POWERS
+    """Powers of the base and of its inverse, ``n`` at least; a worker keeps those for a slice, longer ones are let go."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS
+    made = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps))
+    if not _POWERS and n <= SLICE_BYTES + 1:
+        _POWERS.extend(made)
+    return made
 
 
 def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

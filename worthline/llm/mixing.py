@@ -100,6 +100,12 @@ def mix(
     return placed.withColumn("slot", slot).drop("_rank", "_slots")
 
 
+def mixed_documents(df: DataFrame, source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``df`` in the order of their mix, with the columns of ``df``, whatever their names are."""
+    packed = df.select(F.col(source).alias("source"), F.col(key).alias("doc_id"), F.struct(*[df[c] for c in df.columns]).alias("row"))
+    return in_mixed_order(mix(packed, **options)).select("row.*")
+
+
 def in_mixed_order(mixed: DataFrame) -> DataFrame:
     """The rows of ``mix`` sorted by slot and place, over as many tasks as they need."""
     order = ["slot", "place"]
