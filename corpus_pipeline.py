@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worthline.llm.languages import fit_languages, keep_known
-from worthline.llm.mixing import in_mixed_order, mix
+from worthline.llm.mixing import mixed_documents
 from worthline.llm.near_copies import near_classes, one_of_each
 from worthline.llm.personal import fit_personal, redact
 from worthline.llm.token_codec import round_trip
@@ -35,8 +35,8 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in the order of a mix of the sources by the square roots of their sizes."""
-    return in_mixed_order(mix(docs))
+    """Every document, in the order of a mix of the sources by the square roots of their sizes; columns of any name stay."""
+    return mixed_documents(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
