@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from worthline.operators import gram, kmeans, lasso, metrics, scale, svr, trees
 from worthline.operators.assemble import assemble, pca_2d
 from worthline.operators.split import with_split
+from worthline.plans import cluster_models
 from worthline.plans.clustering import cluster_segments
 from worthline.plans.selection import select_features
 
@@ -75,6 +76,9 @@ def test_silhouette_equals_the_evaluator(blobs):
     assert ours == pytest.approx(ClusteringEvaluator().evaluate(vectors), abs=1e-9)
 
 
+MODEL_COLUMNS = {"id", "s", "label", "x", "y", "split", "predicted"}
+
+
 def test_kmeans_seeds_come_from_all_rows(spark):
     """A cluster of 12 rows in 6,000, which a small sample would miss, gets its centre, and the fit says that it settled."""
     far = F.when(F.col("id") % 500 == 7, F.lit(100.0)).otherwise(F.lit(0.0))
@@ -273,6 +277,70 @@ def test_trees_per_segment(linear):
     assert top == {"A": "a", "B": "a"}
 
 
+def test_packed_forests_score_as_the_trainer_does(linear):
+    few = dict(trees.SEGMENT_PARAMS, maxIter=12)
+    models = trees.gbt_by_segment(linear, ["a", "b", "c"], "y", "s", params=few)
+    packed = {r["id"]: r["predicted"] for r in trees.score_by_segment(linear, models, "s", ["a", "b", "c"]).collect()}
+    for s, model in models.items():
+        for r in model.transform(assemble(linear.filter(F.col("s") == s), ["a", "b", "c"])).collect():
+            assert packed[r["id"]] == pytest.approx(r["predicted"], rel=1e-9, abs=1e-9)
+
+
+def test_five_hundred_segments_are_scored_in_one_scan(spark, tmp_path):
+    """Stumps made by hand: segment i splits x at i and answers -i or i."""
+    stump = lambda i: trees.Forest(
+        np.array([0, -1, -1], dtype=np.int32), np.array([float(i), 0.0, 0.0]), np.array([1, 1, 2], dtype=np.int32), np.array([2, 1, 2], dtype=np.int32),
+        np.array([0.0, -float(i), float(i)]), np.array([0], dtype=np.int32), np.array([1.0]), 0.5, 2.0,
+    )
+    df = spark.range(5000).select((F.col("id") % 501).cast("string").alias("s"), (F.col("id") % 997).cast("double").alias("x"))
+    df.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    scored = trees.score_by_segment(df, {str(i): stump(i) for i in range(500)}, "s", ["x"])
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    for r in scored.collect():
+        i = int(r["s"])
+        assert r["predicted"] == (None if i == 500 else 0.5 + 2.0 * (-i if r["x"] <= i else i))
+
+
+@pytest.mark.parametrize("kind", ["linear", "trees", "kernel"])
+def test_models_of_clusters(spark, kind):
+    """Two segments with clusters of 400, 400, 9 and 300 rows: the small one and the rows outside have no prediction."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for segment, label, n, slope in (("A", 0, 400, 2.0), ("A", 1, 400, -2.0), ("B", 0, 9, 1.0), ("B", 1, 300, 5.0), ("B", -1, 20, 1.0)):
+        for x, e in zip(rng.uniform(0, 10, n), rng.normal(size=n) * 0.05):
+            rows.append((len(rows), segment, label, None if len(rows) % 50 == 3 else float(x), slope * float(x) + 30 + float(e)))
+    df = spark.createDataFrame(rows, "id long, s string, label int, x double, y double")
+    options = {"trees": {"params": dict(trees.SEGMENT_PARAMS, maxIter=20)}, "kernel": {"params": svr.Params(kernel="linear", C=10.0, epsilon=0.01)}}.get(kind, {})
+    done = cluster_models.fit_clusters(df, ["x"], "y", "id", "s", kind=kind, **options)
+    scored = done.scored.collect()
+    assert len(scored) == len(rows) and MODEL_COLUMNS <= set(done.scored.columns)
+    for r in scored:
+        assert (r["predicted"] is None) == (r["label"] == -1 or (r["s"], r["label"]) == ("B", 0))
+    summary = {(r["segment"], r["cluster"]): r for r in done.summary.collect()}
+    assert set(summary) == {("A", 0), ("A", 1), ("B", 1)}
+    for key, n in ((("A", 0), 400), (("A", 1), 400), (("B", 1), 300)):
+        r = summary[key]
+        assert r["n"] == n and r["n_features"] == 1 and 0.05 < r["test_n"] / n < 0.16
+        assert r["test_r2"] > (0.5 if kind == "trees" else 0.85)
+        assert (r["parameters"] is None) == (kind == "linear")
+    nothing = cluster_models.fit_clusters(df.filter("label < 0"), ["x"], "y", "id", "s", kind="linear")
+    assert nothing.scored.filter("predicted is not null").count() == 0 and nothing.summary.count() == 0
+
+
+def test_cluster_report_and_summary_agree(blobs):
+    df = blobs.na.drop().withColumn("s", F.lit("one"))
+    done = cluster_segments(df, ["x", "y"], "id", "s", most=4, restarts=2)
+    row = done.summary.first()
+    assert row["min_distance"] <= row["max_distance"] and row["separation"] >= 1
+    by_label = {r["label"]: r for r in done.labelled.groupBy("label").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.median("y").alias("y")).collect()}
+    assert [c["label"] for c in row["clusters"]] == sorted(by_label)
+    for c in row["clusters"]:
+        want = by_label[c["label"]]
+        assert (c["n"], c["x_mean"], c["y_median"]) == pytest.approx((want["n"], want["x"], want["y"]))
+
+
 def test_projection_keeps_variance(blobs):
     df = blobs.na.drop()
     points, explained = pca_2d(df, ["x", "y"])

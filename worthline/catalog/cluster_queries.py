@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from worthline.catalog.registry import query, r
 from worthline.catalog.shape_queries import p
-from worthline.operators import cluster_rules, kmeans, scale
+from worthline.operators import cluster_rules, kmeans, svr
+from worthline.operators.split import key_hash_sql
+from worthline.plans import cluster_models
 from worthline.plans.clustering import cluster_segments
 from worthline.plans.entities import entities
 from worthline.session import written
@@ -183,6 +185,75 @@ def _(spark, folder):
     return out.select("segment", r("min_distance", 6).alias("min_distance"), r("max_distance", 6).alias("max_distance"), r("separation").alias("separation"))
 
 
+@query(
+    "cluster_report",
+    f"""with {ASSIGNED}, g as (select segment, label, count(*) n, round(avg(raw_value), 3) + 0.0 raw_value_mean, round(median(raw_value), 3) + 0.0 raw_value_median,
+      round(avg(f_acctbal), 3) + 0.0 f_acctbal_mean, round(median(f_acctbal), 3) + 0.0 f_acctbal_median, avg(x) x, avg(y) y from a group by segment, label),
+    far as (select a.segment, sqrt((a.x - b.x)^2 + (a.y - b.y)^2) d from g a join g b on a.segment = b.segment and a.label < b.label),
+    m as (select segment, round(min(d), 5) + 0.0 min_distance, round(max(d), 5) + 0.0 max_distance, round(max(d) / min(d), 4) + 0.0 separation from far group by segment)
+    select g.* exclude (x, y), m.* exclude (segment) from g join m using (segment)""",
+)
+def _(spark, folder):
+    clusters, distances = cluster_models.cluster_report(assigned(spark, folder), "segment", ["raw_value", "f_acctbal"], scaled=COLUMNS)
+    means = [f"{c}_{m}" for c in ("raw_value", "f_acctbal") for m in ("mean", "median")]
+    far = [r("min_distance", 5).alias("min_distance"), r("max_distance", 5).alias("max_distance"), r("separation").alias("separation")]
+    return clusters.join(distances, "segment").select("segment", "label", "n", *[r(c, 3).alias(c) for c in means], *far)
+
+
+# A cluster's split follows its size; its medians come from its training rows; least squares on one feature.
+CLUSTER_MODELS = f"""{ASSIGNED}, l as (select a.entity_id, a.segment, a.label, e.f_qty, e.value from a join entities e using (entity_id)),
+ n as (select segment, label, count(*) n, round(least(0.25, greatest(0.1, 5.0 / count(*))) * 1000) cut from l group by segment, label),
+ sp as (select l.*, n.n, case when {key_hash_sql("entity_id", 42, 1000)} >= cut then 'train' else 'test' end split from l join n using (segment, label)),
+ md as (select segment, label, median(f_qty) q from sp where split = 'train' group by segment, label),
+ f as (select sp.* exclude (f_qty), coalesce(f_qty, q) f_qty from sp join md using (segment, label)),
+ m as (select segment, label, regr_slope(value, f_qty) b, regr_intercept(value, f_qty) a from f where split = 'train' group by segment, label),
+ guard as (select segment, label from sp group by segment, label having count(*) >= 10 and count(*) filter (split = 'test') >= 2),
+ s as (select f.*, a + b * f_qty guess from f join guard using (segment, label) join m using (segment, label))"""
+
+
+def fixed_clusters(spark, folder):
+    lines = entities(spark, folder).select("entity_id", "f_qty", "value")
+    return assigned(spark, folder).select("entity_id", "segment", "label").join(lines, "entity_id")
+
+
+@query("cluster_models_scores", f"with {CLUSTER_MODELS} select l.entity_id, l.segment, l.label, round(guess, 3) + 0.0 guess from l left join s on s.entity_id = l.entity_id")
+def _(spark, folder):
+    done = cluster_models.fit_clusters(fixed_clusters(spark, folder), ["f_qty"], "value", "entity_id", "segment", kind="linear")
+    return done.scored.select("entity_id", "segment", "label", r("predicted", 3).alias("guess"))
+
+
+@query(
+    "cluster_models_summary",
+    f"""with {CLUSTER_MODELS}, t as (select segment, label, split, count(*) n, 1 - avg((value - guess)^2) / var_pop(value) r2, avg(abs(value - guess)) mae from s group by segment, label, split)
+    select segment, label as cluster, sum(n)::bigint n, 1 n_features, sum(n) filter (split = 'test')::bigint test_n, round(max(r2) filter (split = 'train'), 6) + 0.0 train_r2,
+      round(max(r2) filter (split = 'test'), 6) + 0.0 test_r2, round(max(mae) filter (split = 'test'), 3) + 0.0 test_mae from t group by segment, label""",
+)
+def _(spark, folder):
+    done = cluster_models.fit_clusters(fixed_clusters(spark, folder), ["f_qty"], "value", "entity_id", "segment", kind="linear")
+    return done.summary.select("segment", "cluster", "n", "n_features", "test_n", r("train_r2", 6).alias("train_r2"), r("test_r2", 6).alias("test_r2"), r("test_mae", 3).alias("test_mae"))
+
+
+def found_clusters(spark, folder):
+    """Entities with the clusters of a complete fit."""
+    columns = ["entity_id", "segment", "value", "f_acctbal", "f_qty", "f_disc", "f_tax", "f_lines", "raw_value"]
+    df = written(entities(spark, folder).select(*[F.col(c).cast("double").alias(c) if c[:2] == "f_" else c for c in columns]), "clustering")
+    labels = cluster_segments(df, ["value", "f_acctbal"], "entity_id", "segment", most=5, restarts=3).labelled
+    return cluster_models.attach_labels(df, labels, "entity_id")
+
+
+@query("cluster_models_trees")
+def _(spark, folder):
+    inputs = ["f_qty", "f_disc", "f_tax", "f_lines", "raw_value"]
+    return cluster_models.fit_clusters(found_clusters(spark, folder), inputs, "value", "entity_id", "segment", kind="trees").summary.drop("parameters")
+
+
+@query("cluster_models_kernel")
+def _(spark, folder):
+    inputs = ["f_qty", "f_disc", "f_tax", "f_lines", "raw_value"]
+    params = svr.Params(kernel="rbf", C=10.0, epsilon=0.05, gamma=0.05)
+    return cluster_models.fit_clusters(found_clusters(spark, folder), inputs, "value", "entity_id", "segment", kind="kernel", params=params).summary.drop("parameters")
+
+
 @query("kmeans_fit")
 def _(spark, folder):
     df = points(spark, folder)

@@ -6,7 +6,7 @@ from worthline.catalog.registry import query, r
 from worthline.catalog.shape_queries import PEOPLE, p
 from worthline.operators import impute, mapping, profile, scale
 from worthline.operators.assemble import assemble
-from worthline.operators.split import key_hash_sql, with_folds, with_split
+from worthline.operators.split import key_hash_sql, with_folds, with_split, with_split_by
 from worthline.plans.entities import FEATURES, entities, table
 
 ENCODED = ["segment", "country", "sponsor", "name"]
@@ -153,6 +153,15 @@ def _(spark, folder):
     return with_split(p(spark, folder), "entity_id").select("entity_id", "split")
 
 
+@query(
+    "train_test_split_small",
+    f"""with n as (select name, round(least(0.25, greatest(0.1, 5.0 / count(*))) * 1000) cut from entities group by name)
+    select entity_id, case when {key_hash_sql('entity_id', 42, 1000)} >= cut then 'train' else 'test' end split from entities join n using (name)""",
+)
+def _(spark, folder):
+    return with_split_by(p(spark, folder).select("entity_id", "name"), "entity_id", ["name"]).select("entity_id", "split")
+
+
 @query("tag_split", f"select entity_id, name, {split_sql(42)} conjunto from ({PEOPLE})")
 def _(spark, folder):
     return with_split(p(spark, folder), "entity_id", name="conjunto").select("entity_id", "name", "conjunto")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worthline.operators.lookup import lookup_join
+
 # Modulus and multipliers of the split hash (also written out in the checking SQL).
 MODULUS = 2147483647
 MULTIPLIER = 48271
@@ -45,6 +49,16 @@ def small_set_test_share(n: int) -> float:
     return min(0.25, max(0.1, 5 / n))
 
 
+def with_split_by(df: DataFrame, key: str, within: Sequence[str], seed: int = 42, name: str = "split") -> DataFrame:
+    """Tag each row ``train`` or ``test``; the share of test rows of a group of ``within`` follows its size
+    (``small_set_test_share``: 25 % up to 20 rows, 10 % from 50 rows on)."""
+    sizes = df.groupBy(*within).agg(F.count("*").alias("_rows"))
+    joined = lookup_join(df, sizes, list(within), "left", null_safe=True)
+    share = F.least(F.lit(0.25), F.greatest(F.lit(0.1), F.lit(5.0) / F.col("_rows")))
+    is_train = key_hash(key, seed, 1000) >= F.round(share * 1000)
+    return joined.withColumn(name, F.when(is_train, "train").otherwise("test")).select(*df.columns, name)
+
+
 def with_folds(df: DataFrame, key: str, folds: int = 5, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Repeated splits: one copy of each row per fold, with its part in that fold.
 

@@ -11,12 +11,16 @@ from pyspark.storagelevel import StorageLevel
 
 from worthline.operators import cluster_rules, kmeans, scale
 from worthline.operators.partials import spread
-from worthline.functions.scalars import quality_band
+from worthline.functions.scalars import cluster_band, quality_band
+from worthline.operators.lookup import lookup_join
+from worthline.plans.cluster_models import cluster_report
 from worthline.session import written
 
 
 @dataclass
 class ClusteredSegments:
+    """Rows on their own scale with label and squared distance, a row per cluster, a row per segment."""
+
     labelled: DataFrame
     per_cluster: DataFrame
     summary: DataFrame
@@ -34,7 +38,9 @@ def cluster_segments(
     """Cluster every segment on its scaled columns.
 
     All K and restarts of all segments share the passes of one fit. The elbow decides K; the
-    silhouette is reported beside it. Rows with nulls and small segments get label -1.
+    silhouette is reported beside it. Rows with nulls and small segments get label -1. The clusters have
+    their size, mean and median of each column, silhouette, spread and quality; the summary lists them and
+    tells how far their centres lie apart.
     """
     columns = list(columns)
     params = scale.fit_scaler_by(df.na.drop(subset=columns), columns, [segment])
@@ -65,13 +71,19 @@ def cluster_segments(
         F.stddev_pop("silhouette").alias("silhouette_std"),
         F.sum("sq_dist").alias("inertia"),
     )
-    per_cluster = written(per_cluster, "per_cluster")
+    own_scale = scale.scale_by(labelled, params, columns, [segment], invert=True)
+    values, distances = cluster_report(own_scale, segment, columns)
+    per_cluster = lookup_join(per_cluster, values.drop("n"), [segment, "label"], "inner")
+    per_cluster = written(per_cluster.withColumn("quality", cluster_band("silhouette")), "per_cluster")
     quality = cluster_rules.cluster_quality(per_cluster, [segment])
+    described = ["label", "n", *[f"{c}_{m}" for c in columns for m in ("mean", "median")], "silhouette", "inertia", "quality"]
     totals = per_cluster.groupBy(segment).agg(
+        F.array_sort(F.collect_list(F.struct(*described))).alias("clusters"),
         F.sum("n").alias("n"),
         F.sum("inertia").alias("inertia"),
         (F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).alias("silhouette"),
     )
+    own_scale, distances = written(own_scale, "labelled"), written(distances, "distances")
     scaled.unpersist()
     picks = spark.createDataFrame(
         [(seg, elbows[seg], best.get(seg)) for seg in sorted(chosen)], f"{segment} string, k_elbow int, k_silhouette int"
@@ -79,7 +91,8 @@ def cluster_segments(
     summary = (
         totals.join(quality, segment)
         .join(picks, segment)
+        .join(distances, segment)
         .withColumn("band", quality_band("silhouette"))
-        .select(segment, "n", "k_elbow", "k_silhouette", "k", "inertia", "silhouette", "band", "good", "fair", "poor", "overall")
+        .select(segment, "n", "k_elbow", "k_silhouette", "k", "inertia", "silhouette", "band", "good", "fair", "poor", "overall", "min_distance", "max_distance", "separation", "clusters")
     )
-    return ClusteredSegments(labelled, per_cluster, summary)
+    return ClusteredSegments(own_scale, per_cluster, summary)
