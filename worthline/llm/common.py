@@ -185,7 +185,7 @@ def fit_separator(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int =
                 largest = max(largest, abs(step) * diagonal[i])
         if largest < 1e-3:
             break
-    weights = (alpha * y) @ x
+    weights = (alpha * y).astype(x.dtype) @ x  # in the width of x: no wider copy of it
     return weights, float(np.sum(alpha * y))
 
 

@@ -144,12 +144,12 @@ def fit_languages(
         return run
 
     grams = map_batches(sample, "label string, total long, place binary, value binary", make).filter("total > 0").collect()
-    grams.sort(key=lambda r: (r["label"], r["total"], bytes(r["place"])))
-    names = np.array([r["label"] for r in grams])
+    grams.sort(key=lambda r: (r["label"], r["total"], bytes(r["place"])), reverse=True)
+    names = np.array([r["label"] for r in reversed(grams)])
     x = np.zeros((len(grams), ORDERS * BUCKETS), dtype=np.float32)
-    for i, r in enumerate(grams):
+    for i in range(len(x)):
+        r = grams.pop()
         x[i, np.frombuffer(r["place"], dtype=np.int32)] = np.frombuffer(r["value"], dtype=np.float32) / r["total"]
-    del grams
     spread = 1.0 / np.sqrt(x.mean(axis=0) + 1e-5) if len(x) else np.ones(x.shape[1])
     x *= spread.astype(np.float32)
     norm = float(np.sqrt(np.einsum("ij,ij->i", x, x).mean())) if len(x) else 1.0
@@ -164,7 +164,9 @@ def fit_languages(
     def separate(of: np.ndarray, pairs):
         for a, b in pairs:
             rows_ = np.flatnonzero((of == a) | (of == b))
-            w, o = fit_separator(x[rows_], np.where(of[rows_] == a, 1.0, -1.0), cost=20.0)
+            some = x if len(rows_) == len(x) else x[rows_]
+            w, o = fit_separator(some, np.where(of[rows_] == a, 1.0, -1.0), cost=20.0)
+            del some
             weights.append(w * spread / norm)
             offsets.append(o)
 
