@@ -91,7 +91,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     path = fresh_path(spark, "dictionary")
-    writers.write_dictionary(encode_dictionary(table(spark, folder, "orders"), ["o_orderpriority"]), path, chunk=2)
+    writers.write_dictionary(encode_dictionary(table(spark, folder, "orders"), ["o_orderpriority"]), path)
     return readers.read_dictionary(spark, path)
 
 

@@ -6,6 +6,7 @@ from worthline.catalog.io_queries import SEGMENT_NAMES
 from worthline.catalog.registry import query, r
 from worthline.functions import scalars
 from worthline.operators import columns, filters, mapping, search
+from worthline.operators.ordering import number_rows
 from worthline.operators.split import key_hash_sql, with_split
 from worthline.plans.entities import FEATURES, entities, people, table
 
@@ -241,6 +242,17 @@ def _(spark, folder):
     return search.sort_typed(p(spark, folder), "sponsor", "entity_id").select("entity_id", "sponsor")
 
 
+@query(
+    "sort_typed_text",
+    f"""select entity_id, place from (
+      select entity_id, row_number() over (order by try_cast(v as double) desc, entity_id) place from (select entity_id, cast(cast(raw_value as bigint) as varchar) v from ({PEOPLE})))""",
+)
+def _(spark, folder):
+    """Numbers held as text: the place of every row."""
+    df = p(spark, folder).select("entity_id", F.col("raw_value").cast("bigint").cast("string").alias("v"))
+    return number_rows(df, [search.typed_value(df, "v").desc(), "entity_id"], name="place").select("entity_id", "place")
+
+
 @query("sort_preset", f"select entity_id, raw_value from ({PEOPLE}) order by raw_value desc, entity_id")
 def _(spark, folder):
     return search.sort_preset(p(spark, folder), "value", {"value": "raw_value"}, "entity_id").select("entity_id", "raw_value")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from worthline.functions.scalars import correlation, inf_to_null, ratio, rounded, to_number
 from worthline.operators import quantiles
+from worthline.operators.profile import distinct_counts
 from worthline.session import written
 
+# Tolerance in percent, edges of the error ranges, percents of the error profile.
 TOLERANCE = 25.0
 ERROR_EDGES = [5.0, 10.0, 25.0]
 ERROR_PERCENTS = [10, 25, 50, 75, 90, 95, 99]
@@ -198,10 +200,14 @@ def absolute_error(real: str = "value", predicted: str = "predicted") -> Column:
 
 
 def report_rows(df: DataFrame, keys: Sequence[str], real: str = "value", predicted: str = "predicted") -> DataFrame:
-    """The summary report as (section, metric, value) rows."""
+    """The summary report as (section, metric, value) rows.
+
+    Distinct values are counted from distinct (key, value) pairs, which combine before the shuffle, so no
+    row is copied for each of the keys in one aggregation.
+    """
+    df = written(df.select(*keys, real, predicted, "abs_diff", "rel_diff"), "report")
     measures = {
         ("general", "rows"): F.count("*").cast("double"),
-        **{("general", f"distinct_{k}"): F.count_distinct(k).cast("double") for k in keys},
         ("deviation", "abs_mean"): F.avg("abs_diff"),
         ("deviation", "rel_mean"): F.avg("rel_diff"),
         ("deviation", "abs_std"): F.stddev_samp("abs_diff"),
@@ -218,4 +224,8 @@ def report_rows(df: DataFrame, keys: Sequence[str], real: str = "value", predict
             for i, (s, m) in enumerate(measures)
         ]
     )
-    return row.select(F.explode(lines).alias("line")).select("line.*")
+    report = row.select(F.explode(lines).alias("line")).select("line.*")
+    names = df.sparkSession.createDataFrame([(k,) for k in keys], "variable string")
+    distinct = names.join(distinct_counts(df, keys), "variable", "left")
+    metric = F.concat(F.lit("distinct_"), F.col("variable"))
+    return report.unionByName(distinct.select(F.lit("general").alias("section"), metric.alias("metric"), F.coalesce("n_distinct", F.lit(0)).cast("double").alias("value")))

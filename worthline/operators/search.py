@@ -97,10 +97,31 @@ def top_n_value(df: DataFrame, by: str, text: str, key: str, ascending: bool = F
     return df.filter(F.col(by) > 0).orderBy(order, key).limit(n)
 
 
+#: What a page reads as a number.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def typed_value(df: DataFrame, by: str) -> Column:
+    """What a column is sorted by: its numbers (missing and blank ones as zero) if it holds nothing else, else its
+    lower-case text.
+
+    The type is decided once, from all values of the column (one aggregate over text columns), because an
+    order that compares each pair by its own types has cycles where numbers and words are mixed.
+    """
+    text = F.col(by).cast("string")
+    kind = dict(df.dtypes)[by]
+    numeric = kind not in ("string", "boolean", "date", "timestamp", "timestamp_ntz")
+    if kind == "string":
+        words = (F.trim(text) != "") & ~text.rlike(NUMBER)
+        numeric = not df.agg(F.max(F.coalesce(words, F.lit(False)))).first()[0]
+    if numeric:
+        return F.coalesce(F.trim(text).try_cast("double"), F.lit(0.0)) if kind == "string" else zero_if_missing(by)
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
 def sort_typed(df: DataFrame, by: str, key: str, ascending: bool = True) -> DataFrame:
-    """Numeric order if the column is numeric (missing as zero), else order of the lower-case text."""
-    numeric = dict(df.dtypes)[by] not in ("string", "boolean", "date")
-    value = zero_if_missing(by) if numeric else F.lower(F.coalesce(F.col(by).cast("string"), F.lit("")))
+    """Order by ``typed_value``, then by the key."""
+    value = typed_value(df, by)
     return df.orderBy(value.asc() if ascending else value.desc(), key)
 
 
