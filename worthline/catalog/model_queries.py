@@ -1,5 +1,6 @@
 """Feature selection and regressions."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from worthline.catalog.registry import query, r
@@ -62,6 +63,24 @@ def _(spark, folder):
     return lasso.importance(spark, fits, INPUTS)
 
 
+# With one feature the coefficient is the covariance with the scaled feature, drawn to zero by the penalty.
+SOFT = 2000.0
+
+
+@query(
+    "lasso_one_feature",
+    f"""with t as (select segment, count(*) n, covar_pop(f_qty, value) / stddev_pop(f_qty) c, avg(f_qty) mq, avg(value) mv, stddev_pop(f_qty) s
+      from entities where f_qty is not null and h_split < 800 group by segment),
+    w as (select *, sign(c) * greatest(abs(c) - {SOFT}, 0) w from t)
+    select segment, n::double n, round(w, 4) + 0.0 coefficient, round(mv - w / s * mq, 3) + 0.0 as intercept from w""",
+)
+def _(spark, folder):
+    df = entities(spark, folder).withColumn("split", F.when(F.col("h_split") < 800, "train").otherwise("test"))
+    df = df.select("entity_id", "segment", "split", F.col("f_qty").cast("double").alias("f_qty"), TARGET).filter("f_qty is not null")
+    table = lasso.lasso_table(df, ["f_qty"], TARGET, "entity_id", "segment", np.array([SOFT]), split="split")
+    return table.select("segment", "n", r(F.element_at("coefficients", 1), 4).alias("coefficient"), r("intercept", 3).alias("intercept"))
+
+
 @query("lasso_select_pipeline")
 def _(spark, folder):
     df = written(entities(spark, folder).select("entity_id", "segment", *INPUTS, TARGET), "selection")

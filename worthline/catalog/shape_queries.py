@@ -245,11 +245,11 @@ def _(spark, folder):
 @query(
     "sort_typed_text",
     f"""select entity_id, place from (
-      select entity_id, row_number() over (order by try_cast(v as double) desc, entity_id) place from (select entity_id, cast(cast(raw_value as bigint) as varchar) v from ({PEOPLE})))""",
+      select entity_id, row_number() over (order by try_cast(v as double) desc, entity_id) place from (select entity_id, cast(floor(raw_value)::bigint as varchar) v from ({PEOPLE})))""",
 )
 def _(spark, folder):
     """Numbers held as text: the place of every row."""
-    df = p(spark, folder).select("entity_id", F.col("raw_value").cast("bigint").cast("string").alias("v"))
+    df = p(spark, folder).select("entity_id", F.floor("raw_value").cast("bigint").cast("string").alias("v"))
     return number_rows(df, [search.typed_value(df, "v").desc(), "entity_id"], name="place").select("entity_id", "place")
 
 

@@ -54,21 +54,31 @@ def gram_table(df: DataFrame, columns: Sequence[str], key_schema: str, centre: S
     return sum_by_key(df.select(*names, *columns), key_schema, sums)
 
 
-def moments_by(
-    df: DataFrame, columns: Sequence[str], segment: str | None = None, fold: str | None = None
-) -> dict[tuple[str, int], Moments]:
-    """{(segment, fold): Moments}. A first pass gives the centre, against cancellation."""
-    p = len(columns)
+def moment_sums(df: DataFrame, columns: Sequence[str], segment: str | None = None, fold: str | None = None) -> tuple[DataFrame, np.ndarray]:
+    """The table of ``gram_table`` by (_seg, _fold), and the centre that its sums are taken from.
+
+    A first pass gives the centre, against cancellation.
+    """
     centre = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     centre = np.array([m or 0.0 for m in centre])
     source = keyed(df, segment).withColumn("_fold", F.col(fold).cast("int") if fold else F.lit(0))
-    out = {}
-    table = gram_table(source, columns, "_seg string, _fold int", centre)
-    for key, sums in collect_sums(table).items():
-        n, total, cross = sums[0], sums[1 : p + 1], sums[p + 1 :].reshape(p, p)
-        mean = total / n
-        out[key] = Moments(n, mean + centre, cross - n * np.outer(mean, mean))
-    return out
+    return gram_table(source, columns, "_seg string, _fold int", centre), centre
+
+
+def moments_of(sums: np.ndarray, centre: np.ndarray) -> Moments:
+    """Moments from one row of sums."""
+    p = len(centre)
+    n, total, cross = sums[0], sums[1 : p + 1], sums[p + 1 :].reshape(p, p)
+    mean = total / n
+    return Moments(n, mean + centre, cross - n * np.outer(mean, mean))
+
+
+def moments_by(
+    df: DataFrame, columns: Sequence[str], segment: str | None = None, fold: str | None = None
+) -> dict[tuple[str, int], Moments]:
+    """{(segment, fold): Moments}."""
+    table, centre = moment_sums(df, columns, segment, fold)
+    return {key: moments_of(sums, centre) for key, sums in collect_sums(table).items()}
 
 
 def correlation(moments: Moments) -> np.ndarray:

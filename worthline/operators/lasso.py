@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worthline.operators.gram import Moments, moments_by
+from worthline.operators.gram import Moments, moment_sums, moments_of
 from worthline.operators.split import kfold
 
 # Exponents of the least and greatest penalty, and how many are tried.
@@ -37,19 +38,29 @@ def alpha_grid(exponents: tuple[int, int] = ALPHA_EXPONENTS, count: int = ALPHA_
 
 
 def coordinate_descent(gram, xy, alpha, start, max_steps=5000, tolerance=1e-9):
-    """Minimise w'Gw/2 - c'w + alpha |w|_1 one coefficient at a time."""
+    """Minimise w'Gw/2 - c'w + alpha |w|_1 one coefficient at a time.
+
+    Only the coefficients that are not zero are gone round, until none moves; then those that should
+    not be zero join them, until there are none.
+    """
     w = start.copy()
+    usable = np.diag(gram) > 0
+    active = usable & (w != 0)
+    rest = xy - gram @ w
     for _ in range(max_steps):
         moved = 0.0
-        for j in range(len(w)):
-            if gram[j, j] <= 0:
-                continue
-            rho = xy[j] - gram[j] @ w + gram[j, j] * w[j]
+        for j in np.flatnonzero(active):
+            rho = rest[j] + gram[j, j] * w[j]
             new = np.sign(rho) * max(abs(rho) - alpha, 0.0) / gram[j, j]
-            moved = max(moved, abs(new - w[j]))
-            w[j] = new
+            if new != w[j]:
+                rest -= gram[:, j] * (new - w[j])
+                moved = max(moved, abs(new - w[j]))
+                w[j] = new
         if moved <= tolerance * max(1.0, np.abs(w).max()):
-            break
+            joining = usable & ~active & (np.abs(rest) > alpha * (1 + 1e-12) + 1e-15)
+            if not joining.any():
+                break
+            active |= joining
     return w
 
 
@@ -84,43 +95,82 @@ def lasso_cv(
     split: str | None = None,
     min_rows: int = 10,
 ) -> dict[str, LassoFit]:
-    """Fit per segment. Rows marked ``test`` in ``split`` only score; segments under ``min_rows`` are left out."""
+    """Fit per segment. Rows marked ``test`` in ``split`` only score; segments under ``min_rows`` are left out.
+
+    One pass gives the moments of every segment and fold; they stay on the executors, where each segment
+    is solved in a task of its own. Only coefficients and scores come back.
+    """
+    table = lasso_table(df, features, target, key, segment, alphas, folds, split, min_rows)
+    fits = {}
+    for r in sorted(table.collect(), key=lambda r: r["segment"]):
+        fits[r["segment"]] = LassoFit(
+            np.array(r["coefficients"]), r["intercept"], r["alpha"], np.array(r["cv_mse"]), r["train_r2"], r["test_r2"], r["n"]
+        )
+    return fits
+
+
+def lasso_table(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    key: str,
+    segment: str | None = None,
+    alphas: np.ndarray | None = None,
+    folds: int = 5,
+    split: str | None = None,
+    min_rows: int = 10,
+) -> DataFrame:
+    """(segment, alpha, coefficients, intercept, cv_mse, train_r2, test_r2, n): ``lasso_cv`` as a table."""
     alphas = alpha_grid() if alphas is None else alphas
     fold = kfold(key, folds)
     if split:
         fold = F.when(F.col(split) == "test", HELD_OUT).otherwise(fold)
-    parts = moments_by(df.withColumn("_fold_of", fold), [*features, target], segment, "_fold_of")
-    out = {}
-    for seg in sorted({s for s, _ in parts}):
-        held = {f: m for (s, f), m in parts.items() if s == seg and f != HELD_OUT}
-        test = parts.get((seg, HELD_OUT))
-        if not held:
-            continue
-        total = sum_moments(list(held.values()))
-        if total.n + (test.n if test else 0) < min_rows:
+    columns = [*features, target]
+    sums, centre = moment_sums(df.withColumn("_fold_of", fold), columns, segment, "_fold_of")
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        parts = {int(f): moments_of(np.asarray(v, dtype=float), centre) for f, v in zip(group["_fold"], group["sums"])}
+        fit = fit_moments(parts, alphas, min_rows)
+        if fit is None:
+            return pd.DataFrame({c: [] for c in names})
+        test = None if fit.test_r2 is None else float(fit.test_r2)
+        return pd.DataFrame([[group["_seg"].iloc[0], fit.alpha, fit.coefficients, fit.intercept, fit.cv_mse, fit.train_r2, test, fit.n]], columns=names)
+
+    names = ["segment", "alpha", "coefficients", "intercept", "cv_mse", "train_r2", "test_r2", "n"]
+    kinds = "segment string, alpha double, coefficients array<double>, intercept double, cv_mse array<double>, train_r2 double, test_r2 double, n double"
+    return sums.filter("_seg is not null").groupBy("_seg").applyInPandas(solve, kinds)
+
+
+def fit_moments(parts: dict[int, Moments], alphas: np.ndarray, min_rows: int) -> LassoFit | None:
+    """The fit of one segment from the moments of its folds (and of its test rows, under ``HELD_OUT``)."""
+    held = {f: m for f, m in parts.items() if f != HELD_OUT}
+    test = parts.get(HELD_OUT)
+    if not held:
+        return None
+    total = sum_moments(list(held.values()))
+    if total.n + (test.n if test else 0) < min_rows:
+        return None
+    std = np.sqrt(np.diag(total.cross)[:-1] / total.n)
+    std = np.where(std > 0, std, 1.0)
+    errors = np.zeros(len(alphas))
+    for part in held.values():
+        rest = total - part
+        if rest.n < 2:
             continue
-        std = np.sqrt(np.diag(total.cross)[:-1] / total.n)
-        std = np.where(std > 0, std, 1.0)
-        errors = np.zeros(len(alphas))
-        for part in held.values():
-            rest = total - part
-            if rest.n < 2:
-                continue
-            for i, w in enumerate(path(rest, std, alphas)):
-                errors[i] += squared_error(w, rest, part, std) / part.n
-        errors /= max(len(held), 1)
-        best = int(errors.argmin())
-        w = path(total, std, alphas[best:])[0]
-        out[seg] = LassoFit(
-            w,
-            float(total.mean[-1] - (w / std) @ total.mean[:-1]),
-            float(alphas[best]),
-            errors,
-            float(r_squared(w, total, total, std)),
-            float(r_squared(w, total, test, std)) if test else None,
-            float(total.n),
-        )
-    return out
+        for i, w in enumerate(path(rest, std, alphas)):
+            errors[i] += squared_error(w, rest, part, std) / part.n
+    errors /= max(len(held), 1)
+    best = int(errors.argmin())
+    w = path(total, std, alphas[best:])[0]
+    return LassoFit(
+        w,
+        float(total.mean[-1] - (w / std) @ total.mean[:-1]),
+        float(alphas[best]),
+        errors,
+        float(r_squared(w, total, total, std)),
+        float(r_squared(w, total, test, std)) if test else None,
+        float(total.n),
+    )
 
 
 def sum_moments(parts: list[Moments]) -> Moments:
