@@ -2,15 +2,18 @@
 
 import json
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from worthline.operators import deviation, mapping, search
 from worthline.operators.correlate import t_tail
 from worthline.operators.split import small_set_test_share, with_split_by
 from worthline.plans.entities import entities
+from worthline.session import scratch, work_dir
 from worthline.sources import readers, writers
 
 
@@ -98,3 +101,20 @@ def test_share_of_test_rows_follows_the_size_of_the_group(spark):
     assert sum(got.values()) == sum(sizes.values())
     assert got["c", "test"] / 4000 == pytest.approx(small_set_test_share(4000), abs=0.02)
     assert with_split_by(df, "id", ["g"]).exceptAll(with_split_by(df.repartition(7), "id", ["g"])).count() == 0
+
+
+def entries(folder):
+    """What lies in the work folder, but for Spark's own folder for checkpoints."""
+    return {f.name for f in folder.iterdir() if f.is_dir() and not f.name.count("-") == 4}
+
+
+@pytest.mark.parametrize("name", ["group_deviation_stats", "describe_numeric", "residual_sequence", "sink_json_dict"])
+def test_what_a_query_wrote_is_removed(spark, small, name):
+    folder = Path(work_dir(spark).removeprefix("file:"))
+    before = entries(folder)
+    with scratch(spark):
+        rows = queries()[name](spark, small).collect()
+        assert rows and entries(folder) > before
+    assert entries(folder) == before
+    with scratch(spark):
+        assert len(queries()[name](spark, small).collect()) == len(rows)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +36,52 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths that nobody has removed yet: of the open ``scratch``, or of the session.
+_LEFT: list[tuple[SparkSession, str]] = []
+_OPEN: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("open scratch", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the work folder that no earlier run has used."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the work folder that no earlier run has used.
+
+    What is written there belongs to the ``scratch`` that is open, and is removed with it; else it is
+    removed when Python ends.
+    """
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    held = _OPEN.get()
+    (_LEFT if held is None else held).append((spark, path))
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes on leaving every table that operators wrote to the work folder inside.
+
+    Results are lazy and may read such tables, so they are to be consumed or written elsewhere before.
+    """
+    held: list[tuple[SparkSession, str]] = []
+    token = _OPEN.set(held)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        _remove(held)
+
+
+def _remove(paths: list[tuple[SparkSession, str]]) -> None:
+    while paths:
+        spark, name = paths.pop()
+        context = spark.sparkContext
+        if context._jsc is None:  # the session has ended
+            continue
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _remove_rest() -> None:
+    with suppress(Exception):  # the JVM may be gone already
+        _remove(_LEFT)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
