@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from worthline.operators import deviation, mapping, search
 from worthline.operators.correlate import t_tail
-from worthline.operators.split import small_set_test_share, with_split_by
+from worthline.operators.split import key_hash, small_set_test_share, with_split_by
 from worthline.plans.entities import entities
 from worthline.session import scratch, work_dir
 from worthline.sources import readers, writers
@@ -118,3 +118,29 @@ def test_what_a_query_wrote_is_removed(spark, small, name):
     assert entries(folder) == before
     with scratch(spark):
         assert len(queries()[name](spark, small).collect()) == len(rows)
+
+
+def test_headers_of_two_hundred_files_take_one_job(spark, tmp_path):
+    for i in range(200):
+        names = ["k", "v"] if i % 3 else ["v", "k", "extra"]
+        rows = "\n".join(",".join(f"{c}{i}" if c == "k" else str(i) for c in names) for _ in range(3))
+        (tmp_path / f"t{i}.csv").write_text("\n" * (i % 2) + ",".join(names) + "\n" + rows + "\n")
+    (tmp_path / "other.csv").write_text('"k, with comma",x\n1,2\n')
+    (tmp_path / "empty.csv").write_text("")
+    spark.sparkContext.setJobGroup("headers", "first lines")
+    lines = readers.first_lines(spark, str(tmp_path))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers")) == 1
+    spark.sparkContext.setJobGroup("rest", "")
+    assert len(lines) == 201 and sorted(set(lines.values())) == ['"k, with comma",x', "k,v", "v,k,extra"]
+    df = readers.read_folder_union(spark, str(tmp_path), ["k", "v"], types={"v": "int"})
+    assert df.count() == 600 and set(df.columns) == {"k", "v", "extra"}
+    assert df.agg(F.sum("v")).first()[0] == 3 * sum(range(200))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != "1g"
+
+
+def test_fractional_keys_have_their_own_buckets(spark):
+    df = spark.range(2000).select((F.col("id") / 8).alias("x"))
+    spread = df.select(key_hash("x", 42, 1000).alias("b"), F.floor("x").alias("w")).groupBy("w").agg(F.count_distinct("b").alias("n"))
+    assert spread.filter("n < 4").count() == 0
+    whole = spark.range(50).select(F.col("id"), F.col("id").cast("double").alias("x"))
+    assert whole.filter(key_hash("id", 1, 100) != key_hash("x", 1, 100)).count() == 0

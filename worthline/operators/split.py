@@ -27,7 +27,9 @@ def key_hash(key: str, seed: int, buckets: int) -> Column:
 
     Keys that are no whole numbers go by the crc32 of their text.
     """
-    number = F.coalesce(F.col(key).try_cast("bigint"), F.crc32(F.col(key).cast("string").cast("binary")))
+    whole = F.col(key).try_cast("bigint")
+    whole = F.when(whole == F.col(key).try_cast("double"), whole)  # 1.2 is not 1
+    number = F.coalesce(whole, F.crc32(F.col(key).cast("string").cast("binary")))
     folded = (F.pmod(number, F.lit(MODULUS)) * MULTIPLIER + seed * SEED_STEP) % MODULUS
     return folded * F.lit(seed_multiplier(seed)).cast("bigint") % MODULUS % buckets
 

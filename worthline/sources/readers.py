@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from worthline.session import in_parallel
 from worthline.functions.scalars import NULL_TOKENS, null_tokens_to_null
 
 # Field names of the category dictionary documents.
@@ -37,15 +37,15 @@ def read_folder_union(
 ) -> DataFrame:
     """Every CSV in a folder whose header has the required columns, with the union of columns.
 
-    A table is a file or a folder of part files. Only the first line of each table is read to learn
-    its header; tables with the same header are then read by one scan.
+    A table is a file or a folder of part files. One job learns all headers; tables with the same header
+    are then read by one scan. A file without a line is no table.
     """
-    listing = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder).inputFiles()
     top = folder.rstrip("/").split(":")[-1]
-    tables_found = sorted({f if _parent(f).endswith(top) else _parent(f) for f in listing})
-    found = in_parallel(spark, lambda t: tuple(spark.read.csv(t, header=True, sep=sep, escape='"').columns), tables_found, 16)
+    first: dict[str, tuple] = {}
+    for path, line in sorted(first_lines(spark, folder).items()):
+        first.setdefault(path if _parent(path).endswith(top) else _parent(path), tuple(next(csv.reader([line], delimiter=sep))))
     headers: dict[tuple, list[str]] = {}
-    for path, names in found.items():
+    for path, names in first.items():
         headers.setdefault(names, []).append(path)
     tables = []
     for names, paths in headers.items():
@@ -58,6 +58,36 @@ def read_folder_union(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def first_lines(spark: SparkSession, folder: str) -> dict[str, str]:
+    """{file: first line that is not blank} of every CSV file below ``folder``, by one job.
+
+    Each task is given one stretch of one file, and stops after its first lines, or at once if the stretch is
+    not the first of its file: what is read grows with the number of files and not with their size.
+    """
+    settings = {"spark.sql.files.maxPartitionBytes": "1g", "spark.sql.files.openCostInBytes": "1g"}
+    kept = {name: spark.conf.get(name) for name in settings}
+    schema = "path string, start long, value string"
+
+    def head(batches):
+        for batch in batches:
+            if batch["start"][0].as_py() != 0:
+                return
+            for i, line in enumerate(batch["value"].to_pylist()):
+                if line.strip():
+                    yield batch.slice(i, 1)
+                    return
+
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
+        lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+        return {r["path"]: r["value"] for r in lines.mapInArrow(head, schema).collect()}
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+
+
 def _parent(path: str) -> str:
     return path.rsplit("/", 1)[0]
 
