@@ -455,11 +455,11 @@ def _(spark, folder):
 @query(
     "problem_segments",
     f"""with {SCORES}, o as (select country, case when test_r2 > 0 then train_r2 / test_r2 else abs(train_r2 / test_r2) end ratio from t)
-    select round(avg(ratio), 5) + 0.0 mean_ratio, count(*) filter (ratio > 1.01) n_problem, string_agg(country, ', ' order by country) filter (ratio > 1.01) problem from o""",
+    select country, round(ratio, 5) + 0.0 overfit_ratio, round((select avg(ratio) from o), 5) + 0.0 mean_ratio from o where ratio > 1.01""",
 )
 def _(spark, folder):
     df = metrics.problem_segments(metrics.segment_summary(scored(spark, folder), "country"), "country", limit=1.01)
-    return df.withColumn("mean_ratio", r("mean_ratio", 5))
+    return df.select("country", r("overfit_ratio", 5).alias("overfit_ratio"), r("mean_ratio", 5).alias("mean_ratio"))
 
 
 @query("score_coverage", "select count(*) filter (segment <> 'P') n_scored, count(*) n from entities")

@@ -217,11 +217,10 @@ def _(spark, folder):
 
 @query(
     "ranges_for_filters",
-    """select ceil(greatest(max(value), max(predicted), 0.2 * 100000) / 100000)::bigint slider_max, string_agg(distinct segment, ',' order by segment) segments from entities""",
+    """select distinct segment, (select ceil(greatest(max(value), max(predicted), 0.2 * 100000) / 100000)::bigint from entities) slider_max from entities""",
 )
 def _(spark, folder):
-    df = search.filter_ranges(entities(spark, folder), ["value", "predicted"], "segment", unit=100_000, floor=0.2)
-    return df.withColumn("segments", F.array_join("segments", ","))
+    return search.filter_ranges(entities(spark, folder), ["value", "predicted"], "segment", unit=100_000, floor=0.2)
 
 
 # --- order and limit -----------------------------------------------------------------------------

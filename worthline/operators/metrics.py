@@ -117,13 +117,9 @@ def segment_summary(scored: DataFrame, segment: str, split: str = "split", real:
 
 
 def problem_segments(summary: DataFrame, segment: str, limit: float = OVERFIT_LIMIT) -> DataFrame:
-    """Mean overfit ratio, and which segments exceed the limit (one row over a per-segment table)."""
-    high = F.when(F.col("overfit_ratio") > limit, F.col(segment).cast("string"))
-    return summary.agg(
-        F.avg("overfit_ratio").alias("mean_ratio"),
-        F.count(high).alias("n_problem"),
-        F.array_join(F.array_sort(F.collect_list(high)), ", ").alias("problem"),
-    )
+    """A row for each segment whose overfit ratio exceeds the limit, beside the mean ratio of all segments."""
+    mean = summary.agg(F.avg("overfit_ratio")).scalar()
+    return summary.filter(F.col("overfit_ratio") > limit).select(segment, "overfit_ratio", mean.alias("mean_ratio"))
 
 
 def score_coverage(df: DataFrame, predicted: str = "predicted") -> DataFrame:

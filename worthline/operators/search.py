@@ -146,10 +146,9 @@ def limit_then_sort(df: DataFrame, limit: int | None, first_by: str, then: Seque
 
 
 def filter_ranges(df: DataFrame, columns: Sequence[str], segment: str, unit: float = 1_000_000, floor: float = 200) -> DataFrame:
-    """Upper bound of the value sliders (in millions, at least ``floor``) and the segments to offer."""
+    """A row for each segment to offer, in order, beside the upper bound of the value sliders (in millions, at least
+    ``floor``). Both come from one aggregation by segment."""
     largest = F.greatest(*[F.coalesce(F.max(zero_if_missing(c)), F.lit(0.0)) for c in columns]) / unit
-    named = F.when(F.trim(segment) != "", F.col(segment))
-    return df.agg(
-        F.ceil(F.greatest(largest, F.lit(float(floor)))).alias("slider_max"),
-        F.array_sort(F.collect_set(named)).alias("segments"),
-    )
+    by_segment = df.groupBy(segment).agg(largest.alias("_largest"))
+    bound = by_segment.agg(F.ceil(F.greatest(F.max("_largest"), F.lit(float(floor))))).scalar()
+    return by_segment.filter(F.trim(segment) != "").select(segment, bound.alias("slider_max")).orderBy(segment)
