@@ -18,7 +18,7 @@ from pyspark.storagelevel import StorageLevel
 
 from worthline.functions.scalars import ratio
 from worthline.operators.lookup import lookup_join
-from worthline.operators.partials import Shared, collect_sums, keyed, matrix, spread, sum_by_key
+from worthline.operators.partials import Shared, collect_sums, keyed, matrix, spread, sum_by_key, sums_of
 
 RESTARTS = 10
 #: Steps at most, and the squared shift of the centres, as a share of the mean variance, at which a model has settled.
@@ -141,13 +141,14 @@ def fit_many(
                     if shape not in seen:
                         seen.add(shape)
                         models[seg, k, restart] = start
+        partitions = points.rdd.getNumPartitions()
         inertia, steps = dict.fromkeys(models, np.inf), dict.fromkeys(models, 0)
         paths = {model: Path() for model in models}
         active = set(models)
         for _ in range(max_steps):
             if not active:
                 break
-            sums = lloyd_sums(points, columns, {m: models[m] for m in active})
+            sums = lloyd_sums(points, columns, {m: models[m] for m in active}, partitions)
             for model in list(active):
                 old, table = models[model], sums[model]
                 new = moved(table, old)
@@ -221,7 +222,7 @@ def steps_from(df: DataFrame, columns: Sequence[str], centroids: Sequence[Sequen
     return df.sparkSession.createDataFrame(rows, f"label int, n long, {', '.join(f'`{c}` double' for c in columns)}, inertia double")
 
 
-def lloyd_sums(points: DataFrame, columns: list[str], models: dict) -> dict:
+def lloyd_sums(points: DataFrame, columns: list[str], models: dict, partitions: int | None = None) -> dict:
     """One pass: per model and cluster [rows, squared distance, sums of the columns]."""
     by_segment: dict[str, list] = {}
     for model, centroids in models.items():
@@ -239,8 +240,10 @@ def lloyd_sums(points: DataFrame, columns: list[str], models: dict) -> dict:
                 table = np.stack([np.bincount(label, weights=rows[:, j], minlength=k) for j in range(rows.shape[1])], axis=1)
                 yield (seg, k, restart), table
 
-    table = sum_by_key(points.select("_seg", *columns), "_seg string, k int, restart int", sums)
-    out = {key: v.reshape(key[1], len(columns) + 2) for key, v in collect_sums(table).items()}
+    numbers = sum(len(c) for c in models.values()) * (len(columns) + 2)
+    partitions = points.rdd.getNumPartitions() if partitions is None else partitions
+    table = sums_of(points.select("_seg", *columns), "_seg string, k int, restart int", sums, numbers, partitions)
+    out = {key: v.reshape(key[1], len(columns) + 2) for key, v in table.items()}
     shared.unpersist()
     return out
 

@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager, suppress
-from contextvars import ContextVar
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +35,8 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Paths that nobody has removed yet: of the open ``scratch``, or of the session.
-_LEFT: list[tuple[SparkSession, str]] = []
-_OPEN: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("open scratch", default=None)
+#: Paths that nobody has removed yet: those of the session, and on top of them those of every open ``scratch``.
+_PATHS: list[list[str]] = [[]]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -48,8 +46,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     removed when Python ends.
     """
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    held = _OPEN.get()
-    (_LEFT if held is None else held).append((spark, path))
+    _PATHS[-1].append(path)
     return path
 
 
@@ -59,29 +56,28 @@ def scratch(spark: SparkSession):
 
     Results are lazy and may read such tables, so they are to be consumed or written elsewhere before.
     """
-    held: list[tuple[SparkSession, str]] = []
-    token = _OPEN.set(held)
+    held: list[str] = []
+    _PATHS.append(held)
     try:
         yield
     finally:
-        _OPEN.reset(token)
-        _remove(held)
+        _PATHS[:] = [paths for paths in _PATHS if paths is not held]
+        _remove(spark, held)
 
 
-def _remove(paths: list[tuple[SparkSession, str]]) -> None:
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    context = spark.sparkContext
     while paths:
-        spark, name = paths.pop()
-        context = spark.sparkContext
-        if context._jsc is None:  # the session has ended
-            continue
-        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path = context._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @atexit.register
 def _remove_rest() -> None:
-    with suppress(Exception):  # the JVM may be gone already
-        _remove(_LEFT)
+    with suppress(Exception):  # the session may have ended already
+        spark = SparkSession.getActiveSession()
+        for paths in _PATHS if spark else ():
+            _remove(spark, paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
