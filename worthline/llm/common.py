@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,14 @@ def sliced(batch: pa.RecordBatch, text: str | None = "text", limit: int = SLICE_
         start = stop
 
 
+def give_back() -> None:
+    """Hand memory that is no longer used back to the system: a worker is kept for later tasks, also of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(
     df: DataFrame,
     schema: str | T.StructType,
@@ -52,6 +63,8 @@ def map_batches(
                     for field, c in ((field, columns[field.name]) for field in arrow)
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        del function
+        give_back()
 
     return df.mapInArrow(run, kinds)
 

@@ -19,6 +19,7 @@ from worthline.llm.common import (
     bounded_sample,
     char_table,
     fit_separator,
+    give_back,
     map_batches,
     picked,
     sigmoid,
@@ -225,5 +226,6 @@ def keep_known(df: DataFrame, model: LanguageModel, text: str = "text", lang: st
                     filled = pc.coalesce(part.column(place), pa.array(names, part.schema.field(place).type))
                     part = part.set_column(place, part.schema.field(place), filled)
                 yield part.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+        give_back()
 
     return df.mapInArrow(run, schema)

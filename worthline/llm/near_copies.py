@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from worthline.llm.common import char_table, codepoints, map_batches, mixed, picked, run_hashes, runs_of, sliced, starts_of, texts
+from worthline.llm.common import char_table, codepoints, give_back, map_batches, mixed, picked, run_hashes, runs_of, sliced, starts_of, texts
 from worthline.operators.partials import Shared
 from worthline.session import written
 
@@ -94,6 +94,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
                 for row, shift in enumerate((np.uint64(0), np.uint64(24))):
                     places = ((joined >> shift) & mask).astype(np.int64) + row * CELLS
                     cells += np.bincount(places, minlength=2 * CELLS).astype(np.uint32)
+        give_back()
         chunks = [c for c in range(2 * CELLS // CHUNK_CELLS) if cells[c * CHUNK_CELLS : (c + 1) * CHUNK_CELLS].any()]
         packed = [zlib.compress(cells[c * CHUNK_CELLS : (c + 1) * CHUNK_CELLS].tobytes(), 1) for c in chunks]
         yield pa.RecordBatch.from_arrays(
