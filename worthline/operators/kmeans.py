@@ -303,14 +303,22 @@ def assign(
     centroids: Sequence[Sequence[float]] | dict[str, Sequence[Sequence[float]]],
     segment: str | None = None,
 ) -> DataFrame:
-    """Add ``label`` and ``sq_dist``; -1 and null for rows with nulls or in a segment without a model."""
+    """Add ``label`` and ``sq_dist``; -1 and null for rows with nulls or in a segment without a model.
+
+    Centroids of segments are a table that is joined, so the plan does not grow with the segments.
+    """
     if segment is None:
-        best = nearest(columns, centroids)
+        out = df.withColumn("_best", nearest(columns, centroids))
     else:
-        best = F.lit(None).cast("struct<sq_dist: double, label: int>")
-        for seg, points in centroids.items():
-            best = F.when(F.col(segment).cast("string") == seg, nearest(columns, points)).otherwise(best)
-    out = df.withColumn("_best", best)
+        rows = [(seg, [[float(v) for v in point] for point in points]) for seg, points in centroids.items()]
+        table = df.sparkSession.createDataFrame(rows, "_of string, _centres array<array<double>>")
+
+        def distance(centre, label):
+            squared = sum(((F.col(c) - centre[j]) * (F.col(c) - centre[j]) for j, c in enumerate(columns)), F.lit(0.0))
+            return F.struct(squared.alias("sq_dist"), label.alias("label"))
+
+        joined = lookup_join(df.withColumn("_of", F.col(segment).cast("string")), table, ["_of"])
+        out = joined.withColumn("_best", F.array_min(F.transform("_centres", distance))).drop("_of", "_centres")
     known = F.col("_best.sq_dist").isNotNull()
     return out.withColumns(
         {"label": F.when(known, F.col("_best.label")).otherwise(F.lit(-1)), "sq_dist": F.col("_best.sq_dist")}
