@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
@@ -35,8 +34,7 @@ def sliced(batch: pa.RecordBatch, text: str | None = "text", limit: int = SLICE_
 
 
 def give_back() -> None:
-    """Hand memory that is no longer used back to the system: a worker is kept for later tasks, also of other stages."""
-    gc.collect()
+    """Hand memory that is no longer used back to the system: a worker (or the driver) goes on with other stages."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # only the GNU library has it
         ctypes.CDLL(None).malloc_trim(0)

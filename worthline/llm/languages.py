@@ -175,6 +175,8 @@ def fit_languages(
     language_pairs = [pair for family in sorted(members) for pair in combinations(members[family], 2)]
     separate(family_of, family_pairs)
     separate(names, language_pairs)
+    del x, names, family_of
+    give_back()
     table = np.array(weights, dtype=np.float32).T if weights else np.zeros((ORDERS * BUCKETS, 0), dtype=np.float32)
     return LanguageModel(sorted(members), members, family_pairs, language_pairs, table, np.array(offsets, dtype=np.float32))
 

@@ -117,8 +117,12 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     for r in summed:
         if r["chunk"] >= 0:
             cells[r["chunk"] * CHUNK_CELLS : (r["chunk"] + 1) * CHUNK_CELLS] = np.frombuffer(zlib.decompress(r["cells"]), dtype=np.uint64)
+    del summed
     share = np.clip(total / np.maximum(cells, 1), 1.0, RARE)
-    return np.round(255 * np.log(share) / np.log(RARE)).astype(np.uint8)
+    rarity = np.round(255 * np.log(share) / np.log(RARE)).astype(np.uint8)
+    del cells, share
+    give_back()
+    return rarity
 
 
 def weights_of(values: np.ndarray, counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
