@@ -225,15 +225,18 @@ def _(spark, folder):
 
 # --- order and limit -----------------------------------------------------------------------------
 
+# Phrases of the search page.
+MOST_VALUABLE, LEAST_VALUABLE = "top 25 más valiosos", "menos valiosos"
+
 
 @query("top_n_value", f"select entity_id, f_acctbal from ({PEOPLE}) where f_acctbal > 0 order by f_acctbal desc, entity_id limit 25")
 def _(spark, folder):
-    return search.top_n_value(p(spark, folder), "f_acctbal", "top 25 más valiosos", "entity_id").select("entity_id", "f_acctbal")
+    return search.top_n_value(p(spark, folder), "f_acctbal", MOST_VALUABLE, "entity_id").select("entity_id", "f_acctbal")
 
 
 @query("bottom_n_value", f"select entity_id, f_acctbal from ({PEOPLE}) where f_acctbal > 0 order by f_acctbal, entity_id limit 10")
 def _(spark, folder):
-    return search.top_n_value(p(spark, folder), "f_acctbal", "menos valiosos", "entity_id", ascending=True).select("entity_id", "f_acctbal")
+    return search.top_n_value(p(spark, folder), "f_acctbal", LEAST_VALUABLE, "entity_id", ascending=True).select("entity_id", "f_acctbal")
 
 
 @query("sort_typed", f"select entity_id, sponsor from ({PEOPLE}) order by lower(coalesce(sponsor, '')), entity_id")
