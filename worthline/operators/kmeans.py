@@ -18,7 +18,7 @@ from pyspark.storagelevel import StorageLevel
 
 from worthline.functions.scalars import ratio
 from worthline.operators.lookup import lookup_join
-from worthline.operators.partials import Shared, collect_sums, keyed, matrix, spread, sum_by_key, sums_of
+from worthline.operators.partials import Blocks, Shared, collect_sums, keyed, matrix, spread, sum_by_key
 
 RESTARTS = 10
 #: Steps at most, and the squared shift of the centres, as a share of the mean variance, at which a model has settled.
@@ -124,6 +124,7 @@ def fit_many(
     held = df.storageLevel.useMemory
     if not held:
         points = spread(points, key).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = Blocks(points, columns)
     try:
         spreads = points.groupBy("_seg").agg(*[F.var_pop(c).alias(c) for c in columns]).collect()
         variance = {row["_seg"]: float(np.mean([row[c] for c in columns])) for row in spreads}
@@ -141,14 +142,13 @@ def fit_many(
                     if shape not in seen:
                         seen.add(shape)
                         models[seg, k, restart] = start
-        partitions = points.rdd.getNumPartitions()
         inertia, steps = dict.fromkeys(models, np.inf), dict.fromkeys(models, 0)
         paths = {model: Path() for model in models}
         active = set(models)
         for _ in range(max_steps):
             if not active:
                 break
-            sums = lloyd_sums(points, columns, {m: models[m] for m in active}, partitions)
+            sums = lloyd_sums(blocks, columns, {m: models[m] for m in active})
             for model in list(active):
                 old, table = models[model], sums[model]
                 new = moved(table, old)
@@ -159,7 +159,7 @@ def fit_many(
                 else:
                     models[model] = paths[model].next(old, new, inertia[model])
         if active:
-            for model, table in lloyd_sums(points, columns, {m: models[m] for m in active}).items():
+            for model, table in lloyd_sums(blocks, columns, {m: models[m] for m in active}).items():
                 inertia[model] = float(table[:, 1].sum())
         best: dict[tuple[str, int], Clustering] = {}
         for model, centroids in models.items():
@@ -169,6 +169,7 @@ def fit_many(
                 best[seg, k] = Clustering(centroids[order], inertia[model], steps[model], model not in active)
         return best
     finally:
+        blocks.unpersist()
         if not held:
             points.unpersist()
 
@@ -222,32 +223,47 @@ def steps_from(df: DataFrame, columns: Sequence[str], centroids: Sequence[Sequen
     return df.sparkSession.createDataFrame(rows, f"label int, n long, {', '.join(f'`{c}` double' for c in columns)}, inertia double")
 
 
-def lloyd_sums(points: DataFrame, columns: list[str], models: dict, partitions: int | None = None) -> dict:
-    """One pass: per model and cluster [rows, squared distance, sums of the columns]."""
+def lloyd_sums(points: DataFrame | Blocks, columns: list[str], models: dict) -> dict:
+    """One pass: per model and cluster [rows, squared distance, sums of the columns].
+
+    ``points`` is a table with ``_seg`` or its rows as ``Blocks`` of the columns, for fits that take many passes.
+    """
     by_segment: dict[str, list] = {}
     for model, centroids in models.items():
         by_segment.setdefault(model[0], []).append((model, centroids))
     shared = Shared(points.sparkSession, by_segment)
 
-    def sums(batch):
+    def sums(seg, x):
+        rows = np.stack([np.ones(len(x)), np.zeros(len(x)), *x.T])
+        for (_, k, restart), centroids in shared.value.get(seg, ()):
+            label, rows[1] = nearest_centroid(x, centroids)
+            yield (seg, k, restart), np.stack([np.bincount(label, weights=row, minlength=k) for row in rows], axis=1).ravel()
+
+    def of_batch(batch):
         for seg, part in batch.groupby("_seg", sort=False):
-            x = matrix(part, columns)
-            rows = np.column_stack([np.ones(len(x)), np.zeros(len(x)), x])
-            for (_, k, restart), centroids in shared.value.get(seg, ()):
-                distances = squared_distances(x, centroids)
-                label = distances.argmin(axis=1)
-                rows[:, 1] = distances[np.arange(len(x)), label]
-                table = np.stack([np.bincount(label, weights=rows[:, j], minlength=k) for j in range(rows.shape[1])], axis=1)
-                yield (seg, k, restart), table
-
-    numbers = sum(len(c) for c in models.values()) * (len(columns) + 2)
-    partitions = points.rdd.getNumPartitions() if partitions is None else partitions
-    table = sums_of(points.select("_seg", *columns), "_seg string, k int, restart int", sums, numbers, partitions)
+            yield from sums(seg, matrix(part, columns))
+
+    if isinstance(points, Blocks):
+        table = points.sums(sums, sum(len(c) for c in models.values()) * (len(columns) + 2))
+    else:
+        table = collect_sums(sum_by_key(points.select("_seg", *columns), "_seg string, k int, restart int", of_batch))
     out = {key: v.reshape(key[1], len(columns) + 2) for key, v in table.items()}
     shared.unpersist()
     return out
 
 
+def nearest_centroid(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the nearest centroids of each row, and the squared distance to it."""
+    columns = np.ascontiguousarray(x.T)
+    label, least = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf)
+    for number, centre in enumerate(centroids):
+        far = sum((column - value) ** 2 for column, value in zip(columns, centre))
+        closer = far < least
+        label[closer] = number
+        np.minimum(least, far, out=least)
+    return label, least
+
+
 def mean_silhouettes(
     df: DataFrame, columns: Sequence[str], models: dict[tuple[str, int], Clustering], segment: str | None = None
 ) -> dict[tuple[str, int], float]:
