@@ -46,7 +46,8 @@ def shingles(items: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list
     bounds = starts_of(lengths)
     inner = bounds[1:-1]
     cut = inner[(np.searchsorted(starts, inner, side="left") - np.searchsorted(ends, inner, side="right")) == 1]
-    cut = cut[~np.isin(cut, starts)]
+    at = np.searchsorted(starts, cut)
+    cut = cut[(at == len(starts)) | (starts[np.minimum(at, len(starts) - 1)] != cut)] if len(starts) else cut
     starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
     words = run_hashes(codes, starts, ends)
     first = np.searchsorted(starts, bounds)
@@ -55,11 +56,22 @@ def shingles(items: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list
     for i in range(SHINGLE):
         joined = joined * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
     joined = mixed(joined)
+    # the shingles of each text are sorted where they lie; a run of equal ones begins at every place of ``runs``
+    stops = np.maximum(first[1:] - SHINGLE + 1, first[:-1])
+    opens = np.zeros(n + 1, dtype=bool)
+    for a, b in zip(first[:-1].tolist(), stops.tolist()):
+        if b > a:
+            joined[a:b].sort()
+            opens[a] = opens[b] = True
+    opens[1:-1] |= joined[1:] != joined[:-1]
+    runs = np.flatnonzero(opens[:-1])
+    distinct, repeats = joined[runs], np.diff(runs, append=n)
+    run_starts, run_stops = np.searchsorted(runs, first[:-1]).tolist(), np.searchsorted(runs, stops).tolist()
     all_shingles, all_counts, keys = [], [], []
     for i, text in enumerate(lowered):
         a, b = int(first[i]), int(first[i + 1])
         if b - a >= SHINGLE:
-            values, counts = np.unique(joined[a : b - SHINGLE + 1], return_counts=True)
+            values, counts = distinct[run_starts[i] : run_stops[i]], repeats[run_starts[i] : run_stops[i]]
         elif b > a:
             values, counts = mixed(np.array([np.bitwise_xor.reduce(mixed(words[a:b] + np.arange(b - a, dtype=np.uint64)))])), np.ones(1, dtype=np.int64)
         elif text.strip():
@@ -92,8 +104,8 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
                 joined = np.concatenate(values) if values else np.zeros(0, dtype=np.uint64)
                 mask = np.uint64(CELLS - 1)
                 for row, shift in enumerate((np.uint64(0), np.uint64(24))):
-                    places = ((joined >> shift) & mask).astype(np.int64) + row * CELLS
-                    cells += np.bincount(places, minlength=2 * CELLS).astype(np.uint32)
+                    places = ((joined >> shift) & mask).astype(np.int64)
+                    cells[row * CELLS : (row + 1) * CELLS] += np.bincount(places, minlength=CELLS).astype(np.uint32)
         give_back()
         chunks = [c for c in range(2 * CELLS // CHUNK_CELLS) if cells[c * CHUNK_CELLS : (c + 1) * CHUNK_CELLS].any()]
         packed = [zlib.compress(cells[c * CHUNK_CELLS : (c + 1) * CHUNK_CELLS].tobytes(), 1) for c in chunks]
@@ -142,23 +154,37 @@ def samples(values: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.n
     Two texts have the same number at a place with a chance equal to their weighted Jaccard similarity.
     """
     logs = np.log(weights).astype(np.float32)
+    sizes = np.diff(starts, append=len(values))
     out = np.empty((len(starts), len(_SEEDS)), dtype=np.uint32)
+    h, g = np.empty(len(values), dtype=np.uint64), np.empty(len(values), dtype=np.uint64)
+    pieces, draws = np.empty((4, len(values)), dtype=np.intp), np.empty((4, len(values)), dtype=np.float32)
     for k, seed in enumerate(_SEEDS):
-        h = (values ^ seed) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
+        np.bitwise_xor(values, seed, out=h)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= np.right_shift(h, np.uint64(32), out=g)
         h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        pieces = h.view(np.uint16).reshape(-1, 4)
-        rate = _LOGS[pieces[:, 0]] + _LOGS[pieces[:, 1]]
-        scale = np.log(_LOGS[pieces[:, 2]] + _LOGS[pieces[:, 3]])
-        g = h * np.uint64(0xC2B2AE3D27D4EB4F)
-        shift = (g >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-        step = np.floor(logs / rate + shift)
-        order = (scale - rate * (step - shift + np.float32(1.0))).view(np.int32)
-        order ^= (order >> np.int32(31)) & np.int32(0x7FFFFFFF)
-        mark = ((g ^ step.astype(np.int64).view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
-        packed = (order.astype(np.int64) << np.int64(32)) | mark.view(np.int64)
-        out[:, k] = (np.minimum.reduceat(packed, starts) & np.int64(0xFFFFFFFF)).astype(np.uint32)
+        h ^= np.right_shift(h, np.uint64(29), out=g)
+        np.copyto(pieces, h.view(np.uint16).reshape(-1, 4).T)
+        np.take(_LOGS, pieces, out=draws, mode="clip")  # every piece is a place of the table; other modes copy the result
+        rate = np.add(draws[0], draws[1], out=draws[0])
+        order = np.add(draws[2], draws[3], out=draws[2])
+        np.log(order, out=order)
+        np.multiply(h, np.uint64(0xC2B2AE3D27D4EB4F), out=g)
+        shift = np.right_shift(g, np.uint64(40), out=h).view(np.int64).astype(np.float32)
+        shift *= np.float32(2.0**-24)
+        step = logs / rate
+        step += shift
+        np.floor(step, out=step)
+        rest = np.subtract(step, shift, out=shift)
+        rest += np.float32(1.0)
+        rest *= rate
+        order -= rest
+        ranks = order.view(np.int32)
+        ranks ^= (ranks >> np.int32(31)) & np.int32(0x7FFFFFFF)
+        # marks are needed where the order is least; of several such places the least mark counts
+        best = np.flatnonzero(ranks == np.repeat(np.minimum.reduceat(ranks, starts), sizes))
+        marks = ((g[best] ^ step[best].astype(np.int64).view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+        out[:, k] = np.minimum.reduceat(marks, np.searchsorted(best, starts))
     return out
 
 
