@@ -78,3 +78,30 @@ def test_passes_of_kmeans_are_the_same_over_blocks_and_tables(spark):
         np.testing.assert_allclose(ours[key], wanted, atol=1e-9)
         np.testing.assert_allclose(plain[key], wanted, atol=1e-9)
     assert df.agg(F.count("*")).first()[0] == len(x)
+
+
+def test_every_trial_of_a_search_is_fitted_to_the_end_on_every_fold(spark):
+    """The score of each trial, the worst as well, is that of models that were solved on every fold."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 2))
+    y = np.sin(2 * x[:, 0]) + 0.1 * rng.normal(size=400)
+    df = spark.createDataFrame([(i, float(a), float(b), float(v)) for i, ((a, b), v) in enumerate(zip(x, y))], "id long, a double, b double, y double")
+    trials = [svr.Params(10.0 ** (i - 2), "rbf", 0.1, 0.2) for i in range(5)]
+    prepared = svr.Prepared(df, ["a", "b"], "y", "id", None, None)
+    scores = svr.search(prepared, trials)
+    points = prepared.landmarks("all", svr.LANDMARKS)
+    jobs = {("all", t, fold): (svr.KernelMap(p, points), p) for t, p in enumerate(trials) for fold in range(svr.FOLDS)}
+    solved = svr.fit_models(prepared, jobs)
+    rows = np.concatenate([block for _, block in prepared.rows.rdd.collect()])
+    prepared.rows.unpersist()
+    mean, std = prepared.targets["all"]
+    target, bits = (rows[:, 2] - mean) / std, rows[:, 3].astype(int)
+    assert sorted((seg, t) for seg, t, _, _ in scores) == [("all", t) for t in range(5)]
+    for _, t, score, _ in scores:
+        wanted = []
+        for fold in range(svr.FOLDS):
+            out = bits >> fold & 1 == 0
+            guess = jobs["all", t, fold][0](rows[out, :2]) @ solved["all", t, fold].weights
+            wanted.append(1 - ((target[out] - guess) ** 2).sum() / ((target[out] - target[out].mean()) ** 2).sum())
+        np.testing.assert_allclose(score, np.mean(wanted), rtol=1e-6)
+    assert svr.best_trial(scores, "all") == max(range(5), key=lambda t: scores[t][2])
